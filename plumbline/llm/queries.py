@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, decontaminate
+from plumbline.llm import byte_bpe, decontaminate, secret_scan
 from plumbline.llm.common import table
 
 
@@ -20,7 +20,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with those in nested encodings."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_secrets": op3_secrets, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
