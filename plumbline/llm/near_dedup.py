@@ -201,6 +201,7 @@ def link_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges (a, b) between linked documents of each candidate group (node, component, n_shingles), a forest for each block pair."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     members = groups.join(sizes, "component")
+    # a merge join at any size: members grow with the corpus, so a plan that broadcasts them only holds for small ones
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("s") / GROUP_SHINGLES))
     texts = picked(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").dropna(subset=["node"])
 
@@ -210,7 +211,7 @@ def link_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
         return run
 
-    full = arrow_map(members.join(texts, "node").select("component", "node", "n", "s", "text"), make, "component long, node long, n long, s long, shingles binary")
+    full = arrow_map(members.join(texts.hint("merge"), "node").select("component", "node", "n", "s", "text"), make, "component long, node long, n long, s long, shingles binary")
 
     def edges(t: pa.Table) -> Iterator[tuple[int, int]]:
         ids = t.column("node").to_pylist()
