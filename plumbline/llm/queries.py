@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, decontaminate, near_dedup, secret_scan, substring_dedup
+from plumbline.llm import byte_bpe, decontaminate, html_extract, near_dedup, secret_scan, substring_dedup
 from plumbline.llm.common import table
 
 
@@ -35,7 +35,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op3_secrets": op3_secrets, "op4_near_dedup": op4_near_dedup, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_html_extract": op1_html_extract, "op6_substring_dedup": op6_substring_dedup, "op3_secrets": op3_secrets, "op4_near_dedup": op4_near_dedup, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
