@@ -42,7 +42,7 @@ from plumbline.llm.common import materialize, picked
 
 WINDOW, GRAM = 100, 32
 #: Text bytes for each bucket and for each group of documents, and for one pass in a map task.
-BUCKET_BYTES, PASS_BYTES, PIECE = 32 << 20, 24 << 20, 1 << 20
+BUCKET_BYTES, PASS_BYTES, PIECE = 16 << 20, 24 << 20, 1 << 20
 #: Cells of one anchor from which it counts as hot, in a map task and in a bucket.
 HOT_LOCAL, HOT = 64, 4000
 
