@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, decontaminate, html_extract, language_id, near_dedup, quality_model, secret_scan, substring_dedup
+from plumbline.llm import byte_bpe, decontaminate, html_extract, language_id, near_dedup, quality_model, quality_rules, secret_scan, substring_dedup
 from plumbline.llm.common import table
 
 
@@ -52,7 +52,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
-QUERIES = {"op7_quality_model": op7_quality_model, "op9_language_id": op9_language_id, "op1_html_extract": op1_html_extract, "op6_substring_dedup": op6_substring_dedup, "op3_secrets": op3_secrets, "op4_near_dedup": op4_near_dedup, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and cross-document line frequency on all documents."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op7_quality_model": op7_quality_model, "op9_language_id": op9_language_id, "op1_html_extract": op1_html_extract, "op6_substring_dedup": op6_substring_dedup, "op3_secrets": op3_secrets, "op4_near_dedup": op4_near_dedup, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -101,4 +106,31 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_near_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS r
+  FROM documents
+), g AS (
+  SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (
+  SELECT r, count(DISTINCT x) AS n FROM (
+    SELECT r, unnest([i, i + 1, i + 2]) AS x FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r
+), ln AS (
+  SELECT r, host, text, l, translate(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h
+  FROM (SELECT r, host, text, unnest(lines) AS l FROM d)
+), hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
+bad AS (
+  SELECT host, h FROM (SELECT host, h, count(DISTINCT text) AS n FROM ln GROUP BY host, h) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * docs
+), gone AS (
+  SELECT r, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')))::BIGINT AS gone FROM ln JOIN bad USING (host, h) GROUP BY r
+), o AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.gone, 0)::BIGINT AS n_line_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
+SELECT *, NOT base_failed AND n_words - n_line_words >= 0.5 * n_words AS kept FROM f
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_near_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
