@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, decontaminate, html_extract, language_id, near_dedup, quality_model, quality_rules, secret_scan, substring_dedup
+from plumbline.llm import byte_bpe, decontaminate, html_extract, language_id, near_dedup, pii, quality_model, quality_rules, secret_scan, substring_dedup
 from plumbline.llm.common import table
 
 
@@ -57,7 +57,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op7_quality_model": op7_quality_model, "op9_language_id": op9_language_id, "op1_html_extract": op1_html_extract, "op6_substring_dedup": op6_substring_dedup, "op3_secrets": op3_secrets, "op4_near_dedup": op4_near_dedup, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_pii": op5_pii, "op2_quality_rules": op2_quality_rules, "op7_quality_model": op7_quality_model, "op9_language_id": op9_language_id, "op1_html_extract": op1_html_extract, "op6_substring_dedup": op6_substring_dedup, "op3_secrets": op3_secrets, "op4_near_dedup": op4_near_dedup, "op8_decontamination": op8_decontamination, "op10_byte_bpe": op10_byte_bpe}
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
