@@ -331,8 +331,34 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return arrow_map(picked(encoded, "doc_id", "ids"), make, "doc_id long, text string")
 
 
+def _round_trip(encoder: Encoder, decoder: Decoder, text: str | None) -> tuple[bytes, str]:
+    """Ids of a text, and the hash of the bytes that decoding them gives."""
+    ids = encoder.encode(text)
+    back = hashlib.sha256()
+    for part in decoder.decode(ids):
+        back.update(part.encode("utf-8", "surrogatepass"))
+    return ids, back.hexdigest()
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256: each text encoded, decoded again and hashed in one pass."""
+    shared = _with_ranks(docs, rank_file)
+
+    def make():
+        encoder, decoder = tools(shared.value, pattern)
+
+        def run(cols):
+            pairs = [_round_trip(encoder, decoder, t) for t in cols["text"]]
+            ids = [p[0] for p in pairs]
+            return {"doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [p[1] for p in pairs]}
+
+        return run
+
+    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+
+
 def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Encode, decode and hash each text in one pass."""
+    """The contract's columns; the ids themselves don't leave the Python workers."""
     shared = _with_ranks(docs, rank_file)
 
     def make():
@@ -341,13 +367,10 @@ def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         def run(cols):
             out = {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in cols["text"]:
-                ids = encoder.encode(text)
-                back = hashlib.sha256()
-                for part in decoder.decode(ids):
-                    back.update(part.encode("utf-8", "surrogatepass"))
+                ids, back = _round_trip(encoder, decoder, text)
                 out["n_tokens"].append(len(ids) // 4)
                 out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(back.hexdigest())
+                out["decoded_sha256"].append(back)
             return out
 
         return run

@@ -203,7 +203,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return arrow_map(docs.select("doc_id", held_out().alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, net: Network, least: float = 0.35) -> DataFrame:
     """Documents whose language is known with a score of ``least`` or more; all their columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

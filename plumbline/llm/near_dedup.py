@@ -245,4 +245,4 @@ def _same_id(filled: DataFrame, reps: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component stays, that with the smallest doc_id, with all its columns."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")  # as many as the corpus has copies, so never broadcast

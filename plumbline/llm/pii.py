@@ -15,7 +15,7 @@ them linear on long runs; what they match is the same.
 
 A null or empty text has no spans. Repeated rows, and rows with equal or null doc_ids,
 each give a row of their own. Equal spans of different kinds are all listed. Extra
-columns are ignored by ``find`` and kept by ``mask``.
+columns are ignored by ``find`` and kept by ``mask``, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,18 +53,23 @@ def _matches(text: Column, kind: int, pattern: str, wanted: Column) -> Column:
     return F.when(wanted, both).otherwise(none)
 
 
+def _wanted(t: Column) -> list[Column]:
+    """For each kind of match, a cheap condition that holds wherever there is one that can count."""
+    digits = t.rlike("[0-9]")
+    return [
+        F.contains(t, F.lit("@")),
+        digits & t.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
+        digits & t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
+        digits & F.contains(t, F.lit("+")),
+        digits & t.rlike(r"[0-9][^0-9\s]*+[0-9][^0-9\s]*+[0-9][^0-9\s]*+[0-9]"),
+    ]
+
+
 def _raw(docs: DataFrame) -> DataFrame:
     """A row for each document with all raw matches; those without any have an empty array."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("text"), text.rlike("[0-9]").alias("digits"))
-    t, digits = F.col("text"), F.col("digits")
-    found = F.concat(
-        _matches(t, 0, _EMAIL, F.contains(t, F.lit("@"))),
-        _matches(t, 1, _IP, digits & t.rlike(r"[0-9]\.[0-9]++\.[0-9]")),
-        _matches(t, 2, _CARD, digits & t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")),
-        _matches(t, 3, _PHONE, digits & F.contains(t, F.lit("+"))),
-        _matches(t, TOKEN, _TOKEN, digits & t.rlike(r"[0-9][^0-9\s]*+[0-9][^0-9\s]*+[0-9][^0-9\s]*+[0-9]")),
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = F.col("text")
+    found = F.concat(*[_matches(t, k, pattern, wanted) for k, (pattern, wanted) in enumerate(zip((_EMAIL, _IP, _CARD, _PHONE, _TOKEN), _wanted(t)))])
     return rows.select("_row", "doc_id", found.alias("found"))
 
 
@@ -123,16 +128,15 @@ def trusted_patterns(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUN
     return confidence.where(F.col("confidence") >= min_confidence)
 
 
-def spans(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
-    """The documents' rows (_row, doc_id), and their spans (_row, kind, start, end, m)."""
-    raw = materialize(_raw(picked(docs, "doc_id", "text")), "pii")
+def spans_of(raw: DataFrame, **limits: float) -> DataFrame:
+    """Spans (_row, kind, start, end, m) from raw matches (_row, found)."""
     placed = materialize(_placed(raw), "pii")
     base = placed.where((F.col("kind") < TOKEN) & _passes(F.col("kind"), F.col("m")))
     candidates = materialize(_candidates(placed.where(F.col("kind") == TOKEN), base), "pii")
     seeds = base.select(_pattern(F.col("left")).alias("pattern"), "m")
     trusted = trusted_patterns(seeds, candidates, **limits)
     found = candidates.join(trusted, "pattern").select("_row", F.lit(TOKEN).alias("kind"), "start", "end", "m")
-    return raw.select("_row", "doc_id"), base.select("_row", "kind", "start", "end", "m").unionByName(found)
+    return base.select("_row", "kind", "start", "end", "m").unionByName(found)
 
 
 def _joined(spans: Column) -> Column:
@@ -146,7 +150,8 @@ def _count(kind: int) -> Column:
 
 def find(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every document row."""
-    rows, found = spans(docs, **limits)
+    rows = materialize(_raw(picked(docs, "doc_id", "text")), "pii")
+    found = spans_of(rows, **limits)
     lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     all_rows = rows.join(lists, "_row", "left").select("doc_id", F.coalesce("s", none).alias("s"))
@@ -159,24 +164,32 @@ def mask(docs: DataFrame, **limits: float) -> DataFrame:
     """All rows and columns of ``docs``, with each span of ``text`` replaced by its kind, as in ``[EMAIL]``.
 
     Where spans overlap, the one that starts first (the longest of those) is replaced
-    and what the others have beyond it goes too. Rows are told apart by the order in
-    which files are read, so ``docs`` must come from files.
+    and what the others have beyond it goes too. Texts that can't hold a match pass by;
+    only the others are written and joined with their spans.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    _, found = spans(docs, **limits)
+    text = F.coalesce("text", F.lit(""))
+    suspect = _wanted(text)[0]
+    for w in _wanted(text)[1:]:
+        suspect = suspect | w
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    some = materialize(docs.where(suspect).select(F.monotonically_increasing_id().alias("_row"), whole.alias("_doc")), "pii")
+    t = F.col("_doc.text")
+    raw = some.select("_row", F.concat(*[_matches(t, k, pattern, wanted) for k, (pattern, wanted) in enumerate(zip((_EMAIL, _IP, _CARD, _PHONE, _TOKEN), _wanted(t)))]).alias("found"))
+    found = spans_of(raw, **limits)
     order = Window.partitionBy("_row").orderBy("start", F.desc("end"), "kind")
     reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = found.withColumn("_reach", reach).where(F.col("end") > F.col("_reach"))
     cut = cut.withColumn("_from", F.greatest("start", "_reach")).withColumn("_cover", F.col("start") < F.col("_reach"))
     lists = cut.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_from", "end", "kind", "_cover"))).alias("_s"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    s, text = F.col("_s"), F.col("text")
+    s = F.col("_s")
 
     def piece(x: Column, i: Column) -> Column:
         before = F.coalesce(F.get(s, i - 1)["end"], F.lit(0))
-        kept = F.substring(text, (before + 1).cast("int"), (x["_from"] - before).cast("int"))
+        kept = F.substring(t, (before + 1).cast("int"), (x["_from"] - before).cast("int"))
         return F.concat(kept, F.when(x["_cover"], "").otherwise(F.get(names, x["kind"])))
 
-    tail = F.substring(text, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(text))
-    new = F.when(s.isNull(), text).otherwise(F.concat(F.array_join(F.transform(s, piece), ""), tail))
-    return rows.join(lists, "_row", "left").select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    tail = F.substring(t, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(t))
+    new = F.when(s.isNull(), t).otherwise(F.concat(F.array_join(F.transform(s, piece), ""), tail))
+    masked = some.join(lists, "_row", "left").select(*[new.alias("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    return docs.where(~suspect).unionByName(masked)
