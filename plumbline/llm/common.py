@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 from plumbline.runtime import materialize, ship
 
-__all__ = ["arrow_map", "let", "materialize", "picked", "ship", "table"]
+__all__ = ["arrow_map", "let", "materialize", "picked", "release_memory", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; also makes the package importable on the executors."""
+    """One input table; also makes the package importable on the executors, and keeps Arrow batches of texts small."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, meant for narrow rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,12 +51,22 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
                 out = call({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+        release_memory()
 
     return df.mapInArrow(run, struct)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers live on, and share the executor's memory with what runs next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 #: Bytes of Arrow data that are turned into Python objects at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, materialize, picked
+from plumbline.llm.common import arrow_map, materialize, picked, release_memory
 
 #: Lower-cases A-Z and turns every other ASCII character that isn't a letter or digit into a space.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -211,6 +211,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: i
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not find_occurrences(words_of(t), index, firsts, lengths)[0] for t in texts], type=pa.bool_()))
+            release_memory()
 
         kept = kept.mapInArrow(run, schema)
     return kept

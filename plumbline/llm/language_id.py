@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, picked
+from plumbline.llm.common import arrow_map, picked, release_memory
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 UNKNOWN = "und"
 #: Windows that go through the network at a time.
-BATCH = 768
+BATCH = 384
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -213,5 +213,6 @@ def keep_known(docs: DataFrame, net: Network, least: float = 0.35) -> DataFrame:
                 part = batch.slice(at, 500)
                 languages, scores = best_of(shared.value, part.column(part.schema.get_field_index("text")).to_pylist())
                 yield part.filter(pa.array([v != UNKNOWN and s >= least for v, s in zip(languages, scores)], pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

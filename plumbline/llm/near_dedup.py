@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, materialize, picked
+from plumbline.llm.common import arrow_map, materialize, picked, release_memory
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_set
 
 K, LEAST = 32, 12
 #: Rows of a list, and of a group, that one block holds at most, about; and shingles of a group.
-LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1500, 1000, 1_000_000
+LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1500, 1000, 500_000
 #: Percent of the union that linked documents share at least.
 SHARE = 85
 
@@ -176,6 +176,7 @@ def _grouped(rows: DataFrame, keys: list[str], edges, columns: list[str]) -> Dat
                     held.append(batch.slice(a, b - a))
         if held:
             yield done()
+        release_memory()
 
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, picked
+from plumbline.llm.common import materialize, picked, release_memory
 
 WINDOW, GRAM = 100, 32
 #: Text bytes for each bucket and for each group of documents, and for one pass in a map task.
@@ -249,6 +249,7 @@ def _cells(docs: DataFrame, buckets: int, hot_local: int) -> DataFrame:
                         yield from emit()
                         passed = 0
         yield from emit()
+        release_memory()
 
     return docs.mapInArrow(run, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
