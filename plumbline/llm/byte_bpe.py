@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import regex
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import arrow_map, picked
+from plumbline.llm.common import WORKER_CACHES, arrow_map, picked
 
 ROOT = 0
 
@@ -197,14 +197,18 @@ class Transducer:
 class Encoder:
     """Whole texts to packed ids (little-endian unsigned 32-bit)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 400_000):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 500_000, max_states: int = 120_000):
+        self.machine = Transducer(ranks, max_states)
         self.pieces = regex.compile(pattern).findall
         self.words = _Memo(self._word, max_words)
-        self.heads = _Memo(lambda w: self._word(w, ""), max_words)
-        self.parts = _Memo(self._piece, max_words)
+        self.heads = _Memo(lambda w: self._word(w, ""), max_words // 10)
+        self.parts = _Memo(self._piece, max_words // 5)
 
     def _piece(self, piece: str) -> bytes:
+        if piece[0] == " ":
+            known = self.words.get(piece[1:])
+            if known is not None:
+                return known
         ids = list(self.machine.encode(piece.encode("utf-8", "surrogatepass")))
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -212,7 +216,8 @@ class Encoder:
         """Ids of a word with the space before it; None if its ends aren't both non-spaces, where pieces may cross."""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        return b"".join(map(self.parts.__getitem__, self.pieces(lead + word)))
+        pieces = self.pieces(lead + word)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.parts.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -283,6 +288,7 @@ class Decoder:
 
 
 _KEPT: dict[str, tuple[Encoder, Decoder]] = {}
+WORKER_CACHES.append(_KEPT)
 
 
 def tools(data: bytes, pattern: str) -> tuple[Encoder, Decoder]:
@@ -313,7 +319,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
         return run
 
-    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids binary")
+    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids binary", keep_caches=True)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -328,7 +334,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
         return run
 
-    return arrow_map(picked(encoded, "doc_id", "ids"), make, "doc_id long, text string")
+    return arrow_map(picked(encoded, "doc_id", "ids"), make, "doc_id long, text string", keep_caches=True)
 
 
 def _round_trip(encoder: Encoder, decoder: Decoder, text: str | None) -> tuple[bytes, str]:
@@ -354,7 +360,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
         return run
 
-    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string", keep_caches=True)
 
 
 def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -375,4 +381,4 @@ def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
         return run
 
-    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep_caches=True)

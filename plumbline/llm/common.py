@@ -36,7 +36,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable] | None]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable] | None]], schema: str, keep_caches: bool = False) -> DataFrame:
     """``mapInArrow`` with dicts of column lists; ``make`` is called once in each task and gives the batch function."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -45,6 +45,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     target = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_caches:
+            release_memory(caches=True)
         call = make()
         for batch in batches:
             for part in _small(batch):
@@ -56,8 +58,15 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, struct)
 
 
-def release_memory() -> None:
+#: Caches that an operator keeps in a Python worker between its own tasks. Tasks of other operators empty them.
+WORKER_CACHES: list[dict] = []
+
+
+def release_memory(caches: bool = False) -> None:
     """Gives freed memory back to the system: Python workers live on, and share the executor's memory with what runs next."""
+    if caches:
+        for cache in WORKER_CACHES:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
