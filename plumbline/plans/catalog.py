@@ -2,5 +2,668 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import numbers as N
+from plumbline.functions import text as T
+from plumbline.operators import anomaly, audit, edits, hypothesis, impute, impute_mv, match, profile
+from plumbline.plans import auditlog
+from plumbline.plans.events import EventStore
+from plumbline.plans.oplog import OperationLog
+from plumbline.plans.registry import Registry
+from plumbline.sources import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its own name, with its SQL."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- inputs with deterministic gaps (the tables have no nulls)
+
+NUM = "o_totalprice"
+GAPS = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders"
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    gap = lambda c, n: F.when(F.col("o_orderkey") % n != 0, F.col(c)).alias(c)
+    return o.select("o_orderkey", gap("o_custkey", 13), gap("o_orderstatus", 11), gap("o_totalprice", 7))
+
+
+GAP_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+
+# ---------------------------------------------------------------- profiles and scores
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, count(*) - count({c}) AS missing_count, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct FROM ({GAPS})" for c in GAP_COLS))
+def missing_summary(spark, sf_dir):
+    return profile.missing_summary(gappy(spark, sf_dir))
+
+
+def _health_sql(table: str, columns: dict[str, bool]) -> str:
+    parts = []
+    for c, numeric in columns.items():
+        wild = f"WHEN count({c}) > 10 AND avg({c}) <> 0 AND stddev_samp({c}) / abs(avg({c})) > 2 THEN 'anomaly'" if numeric else ""
+        parts.append(f"SELECT '{c}' AS column, CASE WHEN 100.0 * (count(*) - count({c})) / count(*) > 5 THEN 'missing' {wild} ELSE 'clean' END AS health FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_health_sql(f"({GAPS})", {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True}))
+def column_health(spark, sf_dir):
+    return profile.column_health(gappy(spark, sf_dir))
+
+
+def _profile_sql(table: str, columns: dict[str, bool]) -> str:
+    parts = []
+    for c, numeric in columns.items():
+        miss = f"100.0 * (count(*) - count({c})) / count(*)"
+        if numeric:
+            cv = f"coalesce(stddev_samp({c}) / nullif(avg({c}), 0), 0)"
+            m, s = f"(SELECT avg({c}) FROM {table})", f"(SELECT stddev_pop({c}) FROM {table})"
+            stats = f"round(avg({c}), 4) AS mean, round(median({c}::DOUBLE), 4) AS median, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, round(avg(pow({c} - {m}, 3)) / pow({s}, 3), 4) AS skew, round(avg(pow({c} - {m}, 4)) / pow({s}, 4) - 3, 4) AS kurt"
+            wild = f"CASE WHEN count({c}) > 5 AND {cv} > 3 THEN least(20, 2 * {cv}) ELSE 0 END"
+            bad = f"WHEN count({c}) > 10 AND avg({c}) <> 0 AND stddev_samp({c}) / abs(avg({c})) > 2 THEN 'anomaly'"
+            mismatch = "0.0"
+        else:
+            stats = ", ".join(f"NULL::DOUBLE AS {k}" for k in ("mean", "median", "std", "min", "max", "skew", "kurt"))
+            like = f"avg(CASE WHEN {c} IS NULL THEN NULL WHEN regexp_matches(regexp_replace({c}, '[.,-]', '', 'g'), '^[0-9]+$') THEN 1.0 ELSE 0.0 END)"
+            wild, bad, mismatch = "0", "", f"CASE WHEN {like} > 0 AND {like} < 0.8 THEN 100 * (1 - {like}) ELSE 0.0 END"
+        parts.append(
+            f"SELECT '{c}' AS column, round({miss}, 4) AS miss_pct, round(({mismatch})::DOUBLE, 4) AS type_mismatch_pct, round(greatest(0.0, 100 - least(50.0, 2 * {miss}) - least(30.0, 0.5 * ({mismatch})) - {wild})::DOUBLE, 1) AS quality_score, "
+            f"count(DISTINCT {c}) AS n_unique, {stats}, CASE WHEN {miss} > 5 THEN 'missing' {bad} ELSE 'clean' END AS health FROM {table}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(_profile_sql("lineitem", {"l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_returnflag": False}))
+def column_profile(spark, sf_dir):
+    return profile.column_profile(load(spark, sf_dir, "lineitem").select(*LINE))
+
+
+@query(_profile_sql(f"({GAPS})", {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True}))
+def column_profile_gaps(spark, sf_dir):
+    return profile.column_profile(gappy(spark, sf_dir))
+
+
+_TOP = " UNION ALL ".join(f"SELECT '{c}' AS column, row_number() OVER (ORDER BY k DESC, v) AS rank, v AS value, k AS count, round(100.0 * k / n, 1) AS pct FROM (SELECT {c} AS v, count(*) AS k, (SELECT count(*) FROM orders) AS n FROM orders GROUP BY {c})" for c in ("o_orderstatus", "o_orderpriority"))
+
+
+@query(f"SELECT * FROM ({_TOP}) WHERE rank <= 5")
+def top_values(spark, sf_dir):
+    return profile.top_values(load(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query(f"WITH g AS ({GAPS}), h AS ({_health_sql('g', {'o_orderkey': True, 'o_custkey': True, 'o_orderstatus': False, 'o_totalprice': True})}), m AS (" + " UNION ALL ".join(f"SELECT round(100.0 * (count(*) - count({c})) / count(*), 2) AS p FROM g" for c in GAP_COLS) + ") SELECT round(greatest(0, 100 - least(40, 2 * (SELECT avg(p) FROM m)) - least(30, (SELECT 100.0 * count(*) FILTER (health = 'anomaly') / count(*) FROM h)))::DOUBLE, 1) AS quality_score")
+def quality_score(spark, sf_dir):
+    return profile.quality_score(gappy(spark, sf_dir))
+
+
+_DIGIT = "substr(printf('%.10e', {x}), 1, 1)::INT"
+_EVENT_DIGITS = "SELECT " + _DIGIT.format(x="value") + " AS digit FROM events WHERE value > 0"
+_NINE = "(SELECT range::INT AS digit, log10(1 + 1.0 / range) AS e FROM range(1, 10))"
+_BEN = "SELECT n9.digit, n9.e, coalesce(c.k, 0) AS k FROM " + _NINE + " n9 LEFT JOIN (SELECT digit, count(*) AS k FROM ({digits}) GROUP BY digit) c USING (digit)"
+
+_TRUST_COLS = ("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "WITH ev AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS user_id, event_type, value FROM events), "
+    "nulls AS (" + " UNION ALL ".join(f"SELECT (count(*) - count({c}))::DOUBLE / count(*) AS p FROM ev" for c in _TRUST_COLS) + "), "
+    "wild AS (" + " UNION ALL ".join(f"SELECT CASE WHEN count({c}) > 10 AND avg({c}) <> 0 AND stddev_samp({c}) / abs(avg({c})) > 2 THEN 1.0 ELSE 0.0 END AS p FROM ev" for c in ("event_id", "user_id", "value")) + " UNION ALL SELECT 0.0), "
+    "ben AS (SELECT least(1.0, avg(abs(k / s - e)) / 0.15) AS p FROM (SELECT e, k, sum(k) OVER () AS s FROM (" + _BEN.format(digits=_EVENT_DIGITS) + "))), "
+    "c AS (SELECT (SELECT 0.6 * avg(p) + 0.4 * max(p) FROM nulls) AS pn, 0.0::DOUBLE AS pt, (SELECT avg(p) FROM wild) AS pa, (SELECT p FROM ben) AS pb, (SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ev)))::DOUBLE / count(*) FROM ev) AS pd), "
+    "s AS (SELECT *, round(100 * (1 - .35 * pn) * (1 - .2 * pt) * (1 - .2 * pa) * (1 - .15 * pb) * (1 - .1 * pd), 1) AS score FROM c) "
+    "SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade, round(pn, 4) AS p_null, round(pt, 4) AS p_type, round(pa, 4) AS p_anomaly, round(pb, 4) AS p_benford, round(pd, 4) AS p_dup, true AS benford_used FROM s"
+)
+def trust_score(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("user_id")).alias("user_id"), "event_type", "value")
+    return profile.trust_score(ev, "value")
+
+
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS n_distinct, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS n_duplicates FROM documents")
+def duplicate_count(spark, sf_dir):
+    return profile.duplicate_count(load(spark, sf_dir, "documents").select("text"))
+
+
+@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_first(spark, sf_dir):
+    return profile.dedup_first(load(spark, sf_dir, "documents"), ["text"], ["doc_id"]).select("doc_id", "source", "lang")
+
+
+def _moment_sql(x: str, frm: str, tag: str) -> str:
+    m, s = f"(SELECT avg({x}) FROM {frm})", f"(SELECT stddev_pop({x}) FROM {frm})"
+    return f"round(avg({x}), 4) AS mean_{tag}, round(stddev_samp({x}), 4) AS std_{tag}, round(var_samp({x}), 4) AS var_{tag}, round(avg(pow({x} - {m}, 3)) / pow({s}, 3), 4) AS skew_{tag}, round(avg(pow({x} - {m}, 4)) / pow({s}, 4) - 3, 4) AS kurt_{tag}, var_samp({x}) AS v_{tag}"
+
+
+@query(
+    f"WITH b AS (SELECT {_moment_sql('value', 'events', 'before')} FROM events), a AS (SELECT {_moment_sql('value', '(SELECT least(value, 100) AS value FROM events)', 'after')} FROM (SELECT least(value, 100) AS value FROM events)) "
+    "SELECT 'value' AS column, mean_before, mean_after, std_before, std_after, var_before, var_after, skew_before, skew_after, kurt_before, kurt_after, round(100 * (v_after - v_before) / abs(v_before), 2) AS var_change_pct, abs(round(100 * (v_after - v_before) / abs(v_before), 2)) > 20 AS radical_change FROM b, a"
+)
+def before_after(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("value")
+    return profile.before_after(e, e.select(F.least("value", F.lit(100.0)).alias("value")))
+
+
+@query(
+    "WITH x AS (SELECT avg(value) AS mb, stddev_samp(value) AS sb, var_samp(value) AS vb, avg(least(value, 100)) AS ma, stddev_samp(least(value, 100)) AS sa, var_samp(least(value, 100)) AS va FROM events), d AS (SELECT *, (ma - mb) / sqrt((sb * sb + sa * sa) / 2) AS d FROM x) "
+    "SELECT 'value' AS column, round(100 * (ma - mb) / abs(mb), 4) AS delta_mean_pct, round(100 * (va - vb) / abs(vb), 4) AS delta_var_pct, round(d, 4) AS cohen_d, CASE WHEN abs(d) < .2 THEN 'negligible' WHEN abs(d) < .5 THEN 'small' WHEN abs(d) < .8 THEN 'medium' ELSE 'large' END AS label FROM d"
+)
+def effect_size(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("value")
+    return profile.effect_size(e, e.select(F.least("value", F.lit(100.0)).alias("value")), "value")
+
+
+@query(
+    f"WITH g AS ({GAPS}), p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column, (count(*) - count({c}))::DOUBLE / count(*) AS m FROM g" for c in GAP_COLS) + f"), h AS ({_health_sql('g', {'o_orderkey': True, 'o_custkey': True, 'o_orderstatus': False, 'o_totalprice': True})}) "
+    "SELECT p.\"column\", round(100 * m, 2) AS null_pct, 0.0::DOUBLE AS type_mismatch_pct, health, round(greatest(0, 100 * (1 - .35 * m)), 1) AS quality_score, round(.35 * m, 4) AS penalty FROM p JOIN h ON p.\"column\" = h.\"column\""
+)
+def column_penalties(spark, sf_dir):
+    return profile.column_penalties(gappy(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- statistical audit
+
+_M = "(SELECT avg(l_extendedprice) FROM lineitem)"
+_S = "(SELECT stddev_pop(l_extendedprice) FROM lineitem)"
+
+
+@query(
+    "SELECT count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(var_pop(l_extendedprice), 4) AS var, round(min(l_extendedprice), 4) AS min, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, round(max(l_extendedprice), 4) AS max, "
+    f"round(avg(pow(l_extendedprice - {_M}, 3)) / pow({_S}, 3), 4) AS skew, round(avg(pow(l_extendedprice - {_M}, 4)) / pow({_S}, 4) - 3, 4) AS kurt FROM lineitem"
+)
+def descriptive(spark, sf_dir):
+    return audit.describe(load(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(
+    "WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT least(24, 1 + floor((l_extendedprice - lo) / ((hi - lo) / 24)))::BIGINT AS bin, count(*) AS k FROM lineitem, e GROUP BY 1) "
+    "SELECT r.range AS bin, round(lo + (r.range - 1) * ((hi - lo) / 24), 4) AS lo, round(lo + r.range * ((hi - lo) / 24), 4) AS hi, coalesce(k, 0) AS count FROM range(1, 25) r CROSS JOIN e LEFT JOIN b ON b.bin = r.range"
+)
+def histogram24(spark, sf_dir):
+    return audit.histogram(load(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(
+    "WITH m AS (SELECT count(*)::DOUBLE AS n, avg(value) AS a, stddev_pop(value) AS s FROM events), k AS (SELECT n, avg(pow(value - a, 3)) / pow(max(s), 3) AS g, avg(pow(value - a, 4)) / pow(max(s), 4) AS b2 FROM events, m GROUP BY n), "
+    "t AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS be, 3 * (n - 1) / (n + 1) AS e, 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)) AS v, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rb FROM k), "
+    "u AS (SELECT *, sqrt(2 * (be - 1)) - 1 AS w2, (b2 - e) / sqrt(v) AS x, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a FROM t), "
+    "z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM u) "
+    "SELECT n::BIGINT AS n, round(g, 6) AS skew, round(b2 - 3, 6) AS kurt, round(z1 * z1 + z2 * z2, 4) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p_value FROM z"
+)
+def normality_moments(spark, sf_dir):
+    return audit.normality_moments(load(spark, sf_dir, "events"), "value")
+
+
+def _benford_digits_sql(digits: str) -> str:
+    return f"SELECT digit, k AS count, round(100.0 * k / s, 2) AS obs_pct, round(100 * e, 2) AS exp_pct, round(round(100.0 * k / s, 2) - round(100 * e, 2), 2) AS diff_pct, abs(round(round(100.0 * k / s, 2) - round(100 * e, 2), 2)) > 3 AS suspicious FROM (SELECT *, sum(k) OVER () AS s FROM ({_BEN.format(digits=digits)}))"
+
+
+def _benford_verdict_sql(digits: str) -> str:
+    return (
+        f"WITH x AS (SELECT max(s)::BIGINT AS n, sum(pow(k - s * e, 2) / (s * e)) AS chi2, avg(abs(k / s - e)) AS mad FROM (SELECT *, sum(k) OVER () AS s FROM ({_BEN.format(digits=digits)}))) "
+        "SELECT n, round(chi2, 4) AS chi2, round(mad, 6) AS mad, CASE WHEN mad <= .006 THEN 'Close conformity' WHEN mad <= .012 THEN 'Acceptable conformity' WHEN mad <= .015 THEN 'Marginal conformity' ELSE 'Nonconformity' END AS conformity, mad > .015 AS suspicious FROM x"
+    )
+
+
+@query(_benford_digits_sql(_EVENT_DIGITS))
+def benford_digits(spark, sf_dir):
+    return audit.benford_digits(load(spark, sf_dir, "events"), "value")
+
+
+@query(_benford_verdict_sql(_EVENT_DIGITS))
+def benford_verdict(spark, sf_dir):
+    return audit.benford_verdict(load(spark, sf_dir, "events"), "value")
+
+
+@query(_benford_verdict_sql("SELECT " + _DIGIT.format(x="l_extendedprice") + " AS digit FROM lineitem WHERE l_extendedprice > 0"))
+def benford_nonconforming(spark, sf_dir):
+    return audit.benford_verdict(load(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query("WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, value, round(a - 1.5 * (b - a), 6) AS lower, round(b + 1.5 * (b - a), 6) AS upper FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)")
+def outliers_iqr(spark, sf_dir):
+    return audit.iqr_outliers(load(spark, sf_dir, "events").select("event_id", "value"), "value").select("event_id", "value", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+@query(
+    "WITH m AS (SELECT median(n_chars::DOUBLE) AS med FROM documents), d AS (SELECT median(abs(n_chars - med)) AS mad FROM documents, m) "
+    "SELECT doc_id, n_chars, round((n_chars - med) / (mad / 0.6745), 6) AS z, round(med - 3 * mad, 4) AS lower, round(med + 3 * mad, 4) AS upper, round(med - 3 * (mad / 0.6745), 4) AS effective_lower, round(med + 3 * (mad / 0.6745), 4) AS effective_upper FROM documents, m, d WHERE abs((n_chars - med) / (mad / 0.6745)) > 3"
+)
+def outliers_robust_z(spark, sf_dir):
+    out = audit.zscore_outliers(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars")
+    return out.select("doc_id", "n_chars", F.round("z", 6).alias("z"), *[F.round(c, 4).alias(c) for c in ("lower", "upper", "effective_lower", "effective_upper")])
+
+
+@query("WITH m AS (SELECT avg(value) AS a, stddev_pop(value) AS s FROM events) SELECT event_id, value, round((value - a) / s, 6) AS z FROM events, m WHERE abs((value - a) / s) > 3")
+def outliers_z(spark, sf_dir):
+    return audit.zscore_outliers(load(spark, sf_dir, "events").select("event_id", "value"), "value", robust=False).select("event_id", "value", F.round("z", 6).alias("z"))
+
+
+@query("WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT count(*) AS n, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS n_outliers, round(100.0 * count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) / count(*), 2) AS outlier_rate FROM events, q")
+def outlier_summary(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "value")
+    return audit.outlier_summary(e, audit.iqr_outliers(e, "value"), "value")
+
+
+def _anova_sql(x: str, g: str, table: str) -> str:
+    return f"WITH r AS (SELECT {x} AS x, {g} AS g FROM {table}), gm AS (SELECT g, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM r GROUP BY g), t AS (SELECT sum(n)::DOUBLE AS nn, count(*) AS k, sum(n * m) / sum(n) AS a FROM gm), s AS (SELECT max(nn) AS n, max(k) AS k, sum(gm.n * pow(m - a, 2)) AS ssb, sum(gm.n * v) AS ssw FROM gm, t)"
+
+
+@query(_anova_sql("l_extendedprice", "l_returnflag", "lineitem") + " SELECT n::BIGINT AS n, k, round(ssb / (k - 1) / (ssw / (n - k)), 6) AS f, round(ssb / (ssb + ssw), 8) AS eta2, round(greatest(0, (ssb - (k - 1) * (ssw / (n - k))) / (ssb + ssw + ssw / (n - k))), 8) AS omega2 FROM s")
+def anova_impact(spark, sf_dir):
+    return audit.anova(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag").select("n", "k", F.round("f", 6).alias("f"), F.round("eta2", 8).alias("eta2"), F.round("omega2", 8).alias("omega2"))
+
+
+_NUMS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_AVG_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+_CORR_LABEL = "CASE WHEN abs(pearson) >= .8 THEN 'very strong' WHEN abs(pearson) >= .6 THEN 'strong' WHEN abs(pearson) >= .4 THEN 'moderate' WHEN abs(pearson) >= .2 THEN 'weak' ELSE 'very weak' END"
+
+
+@query(
+    "WITH r AS (SELECT *, " + ", ".join(_AVG_RANK.format(c=c) + f" AS r{i}" for i, c in enumerate(_NUMS)) + " FROM lineitem), p AS (" + " UNION ALL ".join(f"SELECT '{_NUMS[i]}' AS col_a, '{_NUMS[j]}' AS col_b, count(*) AS n, round(corr({_NUMS[i]}, {_NUMS[j]}), 6) AS pearson, round(corr(r{i}, r{j}), 6) AS spearman FROM r" for i in range(4) for j in range(i + 1, 4)) + f") SELECT *, {_CORR_LABEL} AS strength FROM p"
+)
+def correlation_pairs(spark, sf_dir):
+    return audit.correlation_pairs(load(spark, sf_dir, "lineitem").select(*_NUMS))
+
+
+# ---------------------------------------------------------------- hypothesis tests
+
+
+@query("SELECT o_orderpriority AS g, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(stddev_samp(o_totalprice), 4) AS std, round(min(o_totalprice), 4) AS min, round(max(o_totalprice), 4) AS max FROM orders GROUP BY 1")
+def group_summary(spark, sf_dir):
+    return hypothesis.group_summary(load(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query("WITH c AS (SELECT o_orderpriority AS g, o_orderstatus AS x, count(*) AS k FROM orders GROUP BY 1, 2) SELECT g, sum(k)::BIGINT AS n, first(x ORDER BY k DESC, x) AS top, count(*) AS n_unique FROM c GROUP BY g")
+def group_modes(spark, sf_dir):
+    return hypothesis.group_modes(load(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS count FROM orders GROUP BY 1, 2")
+def crosstab(spark, sf_dir):
+    return hypothesis.crosstab(load(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "WITH t AS (SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS k FROM orders GROUP BY 1, 2), r AS (SELECT x, sum(k) AS r FROM t GROUP BY x), c AS (SELECT y, sum(k) AS c FROM t GROUP BY y), n AS (SELECT sum(r) AS n, count(*) AS rows, (SELECT count(*) FROM c) AS cols FROM r), e AS (SELECT r * c / n AS e, coalesce(k, 0) AS k, n, rows, cols FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN t USING (x, y)), "
+    "s AS (SELECT max(n)::BIGINT AS n, max(rows) AS rows, max(cols) AS cols, sum(pow(k - e, 2) / e) AS chi2, min(e) AS m FROM e) SELECT n, rows, cols, round(chi2, 6) AS chi2, (rows - 1) * (cols - 1) AS dof, round(m, 6) AS min_expected, round(sqrt(chi2 / (n * (least(rows, cols) - 1))), 6) AS cramers_v FROM s"
+)
+def chi_square(spark, sf_dir):
+    return hypothesis.chi_square(load(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "WITH med AS (SELECT c_mktsegment AS g, median(c_acctbal) AS m FROM customer GROUP BY 1), r AS (SELECT c_mktsegment AS g, abs(c_acctbal - m) AS x FROM customer JOIN med ON c_mktsegment = med.g), gm AS (SELECT g, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM r GROUP BY g), t AS (SELECT sum(n)::DOUBLE AS nn, count(*) AS k, sum(n * m) / sum(n) AS a FROM gm), s AS (SELECT max(nn) AS n, max(k) AS k, sum(gm.n * pow(m - a, 2)) AS ssb, sum(gm.n * v) AS ssw FROM gm, t) SELECT n::BIGINT AS n, k, round(ssb / (k - 1) / (ssw / (n - k)), 6) AS w FROM s"
+)
+def levene_stat(spark, sf_dir):
+    return hypothesis.levene(load(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment")
+
+
+_TWO = "WITH a AS (SELECT count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem WHERE l_linestatus = 'O')"
+
+
+@query(
+    _TWO + " SELECT 'F' AS group_a, 'O' AS group_b, a.n::BIGINT AS n_a, b.n::BIGINT AS n_b, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)), 6) AS t_student, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t_welch, "
+    "round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 6) AS dof_welch, round((a.m - b.m) / sqrt((a.v + b.v) / 2), 6) AS cohen_d FROM a, b"
+)
+def welch_t(spark, sf_dir):
+    return hypothesis.two_groups(load(spark, sf_dir, "lineitem").where("l_linestatus in ('F', 'O')"), "l_extendedprice", "l_linestatus")
+
+
+def _ranks_sql(x: str, g: str, table: str) -> str:
+    return f"WITH r AS (SELECT {g} AS g, {x} AS x, " + _AVG_RANK.format(c=x) + f" AS rk FROM {table}), s AS (SELECT g, count(*) AS n, sum(rk) AS r FROM r GROUP BY g), t AS (SELECT sum(k)::DOUBLE AS nn, sum(k::DOUBLE * k * k - k) AS t FROM (SELECT count(*) AS k FROM r GROUP BY x))"
+
+
+@query(_ranks_sql("l_quantity", "l_linestatus", "lineitem") + ", a AS (SELECT * FROM s WHERE g = 'F'), b AS (SELECT * FROM s WHERE g = 'O') SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b, (a.r - a.n * (a.n + 1) / 2)::DOUBLE AS u, t AS ties, round((1 - 2 * (a.r - a.n * (a.n + 1) / 2) / (a.n * b.n))::DOUBLE, 6) AS rank_biserial FROM a, b, t")
+def mann_whitney_u(spark, sf_dir):
+    return hypothesis.mann_whitney(load(spark, sf_dir, "lineitem"), "l_quantity", "l_linestatus")
+
+
+@query(_ranks_sql("o_totalprice", "o_orderpriority", "orders") + ", q AS (SELECT count(*) AS k, sum(r * r / n) AS q FROM s) , h AS (SELECT nn, k, (12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / (1 - t / (nn * nn * nn - nn)) AS h FROM q, t) SELECT nn::BIGINT AS n, k, round(h, 4) AS h, round((h - k + 1) / (nn - k), 6) AS epsilon2 FROM h")
+def kruskal_h(spark, sf_dir):
+    return hypothesis.kruskal(load(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query("WITH r AS (SELECT c_acctbal AS a, c_custkey AS b, " + _AVG_RANK.format(c="c_acctbal") + " AS ra, " + _AVG_RANK.format(c="c_custkey") + " AS rb FROM customer) SELECT count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r")
+def spearman(spark, sf_dir):
+    return hypothesis.correlation(load(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
+
+
+# ---------------------------------------------------------------- text
+
+_LOW = "lower(translate({x}, 'IİĞÜŞÖÇ', 'ıiğüşöç'))"
+_UP = "upper(translate({x}, 'ıiğüşöç', 'IİĞÜŞÖÇ'))"
+_WORDS = "SELECT p_partkey, p_name || ' İIĞ ' || p_type AS s FROM part"
+
+
+def words(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" İIĞ "), "p_type").alias("s"))
+
+
+@query(f"SELECT p_partkey, {_LOW.format(x='s')} AS r FROM ({_WORDS})")
+def tr_lower(spark, sf_dir):
+    return words(spark, sf_dir).select("p_partkey", T.tr_lower(F.col("s")).alias("r"))
+
+
+@query(f"SELECT p_partkey, {_UP.format(x='s')} AS r FROM ({_WORDS})")
+def tr_upper(spark, sf_dir):
+    return words(spark, sf_dir).select("p_partkey", T.tr_upper(F.col("s")).alias("r"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''), lambda w: {_UP.format(x='substr(w, 1, 1)')} || {_LOW.format(x='substr(w, 2)')}), ' ') AS r FROM ({_WORDS})")
+def tr_title(spark, sf_dir):
+    return words(spark, sf_dir).select("p_partkey", T.tr_title(F.col("s")).alias("r"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS r FROM documents")
+def whitespace(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("r"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN 'n/a' WHEN 2 THEN '20' || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS r FROM orders")
+def date_norm(spark, sf_dir):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    s = F.when(k == 0, F.date_format(d, "dd.MM.yyyy")).when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(k == 2, F.date_format(d, "dd-MM-yy")).when(k == 3, F.date_format(d, "d/M/yyyy")).otherwise("n/a")
+    return load(spark, sf_dir, "orders").select("o_orderkey", T.normalize_date(s).alias("r"))
+
+
+@query("SELECT c_custkey, CASE c_nationkey % 6 WHEN 0 THEN 'İstanbul' WHEN 1 THEN 'İstanbul' WHEN 2 THEN 'Ankara' WHEN 3 THEN 'İzmir' WHEN 4 THEN 'Paris' ELSE 'Diyarbakır' END AS r FROM customer")
+def city_norm(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("istabul", "34", " ANKARA ", "35", "Paris", "diyarbakir")])
+    return load(spark, sf_dir, "customer").select("c_custkey", T.normalize_city(F.get(names, F.col("c_nationkey") % 6)).alias("r"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1250.5 WHEN 1 THEN 1000000 WHEN 2 THEN NULL ELSE o_orderkey END::DOUBLE AS r FROM orders")
+def tr_number_fix(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    s = F.when(k == 0, "1.250,50").when(k == 1, "1.000.000").when(k == 2, "1250,5").otherwise(F.col("o_orderkey").cast("string"))
+    df, _ = ingest.fix_turkish_numbers(load(spark, sf_dir, "orders").select("o_orderkey", s.alias("r")), order="o_orderkey")
+    return df
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'gül' WHEN 1 THEN 'İzmir şöyle' ELSE p_name END AS r FROM part")
+def mojibake_fix(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    s = F.when(k == 0, "gÃ¼l").when(k == 1, "İzmir şöyle").otherwise(F.col("p_name"))
+    return load(spark, sf_dir, "part").select("p_partkey", T.fix_mojibake(s).alias("r"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(text, 'e', 'e' || chr(769))) AS r FROM documents")
+def nfc(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.normalize_unicode(F.replace(F.col("text"), F.lit("e"), F.lit("é"))).alias("r"))
+
+
+@query(f"SELECT p_partkey, {_LOW.format(x=chr(39) + 'X' + chr(39) + ' || s')} AS s FROM ({_WORDS})".replace("'X' || s", "trim(regexp_replace(s, '\\s+', ' ', 'g'))"))
+def text_pipeline(spark, sf_dir):
+    out, _ = T.normalize_frame(words(spark, sf_dir), ["s"], ("fix_encoding", "strip_whitespace", "unicode_normalize", "turkish_lower"))
+    return out
+
+
+@query(f"SELECT 's' AS column, count(*) AS total, count(*) FILTER ({_UP.format(x='s')} <> s) AS changes, round(100.0 * count(*) FILTER ({_UP.format(x='s')} <> s) / count(*), 2) AS change_pct FROM ({_WORDS})")
+def change_summary(spark, sf_dir):
+    return T.change_summary(words(spark, sf_dir), ["s"], ("turkish_upper",))
+
+
+@query("SELECT event_id, " + _DIGIT.format(x="value") + " AS digit FROM events WHERE value > 0")
+def first_digit(spark, sf_dir):
+    return load(spark, sf_dir, "events").where("value > 0").select("event_id", N.first_digit(F.col("value")).alias("digit"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN NULL ELSE o_orderstatus END AS r FROM orders")
+def null_tokens(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    s = F.when(k == 0, "N/A").when(k == 1, "--").otherwise(F.col("o_orderstatus"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", T.nulls_for_tokens(s).alias("r"))
+
+
+# ---------------------------------------------------------------- missing data
+
+
+def _pattern_sql() -> str:
+    flags = ", ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)::DOUBLE AS f{i}" for i, c in enumerate(GAP_COLS))
+    parts = []
+    for i, c in enumerate(GAP_COLS):
+        most = f"greatest(0, {', '.join(f'coalesce(abs(CASE WHEN stddev_pop(f{i}) * stddev_pop(f{j}) = 0 THEN 0 ELSE covar_pop(f{i}, f{j}) / (stddev_pop(f{i}) * stddev_pop(f{j})) END), 0)' for j in range(4) if j != i)})"
+        skew = f"(SELECT avg(pow({c} - (SELECT avg({c}) FROM g), 3)) / pow(max(s), 3) * sqrt(count({c})::DOUBLE * (count({c}) - 1)) / (count({c}) - 2) FROM g, (SELECT stddev_pop({c}) AS s FROM g) q)" if c != "o_orderstatus" else "0"
+        method = "CASE WHEN pct > 30 OR pattern = 'MNAR' THEN 'constant' ELSE 'mode' END" if c == "o_orderstatus" else f"CASE WHEN pct > 40 THEN 'median' WHEN abs({skew}) < .5 THEN 'mean' ELSE 'median' END"
+        parts.append(f"SELECT '{c}' AS column, k::BIGINT AS missing_count, pct AS missing_pct, round(corr, 6) AS max_corr, pattern, CASE WHEN k = 0 THEN 'mean' ELSE {method} END AS recommended FROM (SELECT *, CASE WHEN k = 0 THEN 'NONE' WHEN pct > 40 THEN 'MNAR' WHEN corr >= .2 THEN 'MAR' ELSE 'MCAR' END AS pattern FROM (SELECT sum(f{i}) AS k, round(100 * sum(f{i}) / count(*), 2) AS pct, ({most})::DOUBLE AS corr FROM f))")
+    return f"WITH g AS ({GAPS}), f AS (SELECT {flags} FROM g) " + " UNION ALL ".join(parts)
+
+
+@query(_pattern_sql())
+def missing_pattern(spark, sf_dir):
+    return impute.missing_pattern(gappy(spark, sf_dir))
+
+
+@query(f"WITH g AS ({GAPS}) SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM g)), 4) AS o_totalprice FROM g")
+def fill_mean(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), NUM, "mean").select("o_orderkey", F.round(NUM, 4).alias(NUM))
+
+
+@query(f"WITH g AS ({GAPS}) SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g)), 4) AS o_totalprice FROM g")
+def fill_median(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), NUM, "median").select("o_orderkey", F.round(NUM, 4).alias(NUM))
+
+
+@query(f"WITH g AS ({GAPS}) SELECT o_orderkey, coalesce(o_orderstatus, (SELECT o_orderstatus FROM g WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus FROM g")
+def fill_mode(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), "o_orderstatus", "mode").select("o_orderkey", "o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, coalesce(o_orderstatus, 'Bilinmiyor') AS o_orderstatus FROM ({GAPS})")
+def fill_constant(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), "o_orderstatus", "constant").select("o_orderkey", "o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, last_value(o_totalprice IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS o_totalprice FROM ({GAPS})")
+def fill_forward(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), NUM, "ffill", order="o_orderkey").select("o_orderkey", NUM)
+
+
+@query(f"SELECT o_orderkey, first_value(o_totalprice IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS o_totalprice FROM ({GAPS})")
+def fill_backward(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), NUM, "bfill", order="o_orderkey").select("o_orderkey", NUM)
+
+
+@query(
+    f"WITH g AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM ({GAPS})), w AS (SELECT *, last_value(o_totalprice IGNORE NULLS) OVER p AS pv, last_value(CASE WHEN o_totalprice IS NOT NULL THEN i END IGNORE NULLS) OVER p AS pi, first_value(o_totalprice IGNORE NULLS) OVER n AS nv, first_value(CASE WHEN o_totalprice IS NOT NULL THEN i END IGNORE NULLS) OVER n AS ni FROM g WINDOW p AS (ORDER BY i ROWS UNBOUNDED PRECEDING), n AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT o_orderkey, round(coalesce(o_totalprice, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), nv, pv), 4) AS o_totalprice FROM w"
+)
+def interpolate(spark, sf_dir):
+    return impute.fill(gappy(spark, sf_dir), NUM, "interpolate", order="o_orderkey").select("o_orderkey", F.round(NUM, 4).alias(NUM))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS value FROM events")
+def fill_forward_by_user(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value"))
+    return impute.fill(e, "value", "ffill", order="event_id", by=["user_id"]).select("event_id", "value")
+
+
+@query(f"WITH g AS ({GAPS}) SELECT 'o_totalprice' AS column, count(*) - count(o_totalprice) AS missing_before, 0::BIGINT AS missing_after, count(*) - count(o_totalprice) AS cells_filled FROM g")
+def fill_report(spark, sf_dir):
+    g = gappy(spark, sf_dir)
+    return impute.fill_report(g, impute.fill(g, NUM, "mean"), NUM)
+
+
+@query(
+    f"WITH g AS ({GAPS}), b AS (SELECT o_totalprice AS v FROM g WHERE o_totalprice IS NOT NULL), a AS (SELECT coalesce(o_totalprice, (SELECT avg(v) FROM b)) AS v FROM g), u AS (SELECT v, sum(b) AS b, sum(a) AS a FROM (SELECT v, 1 AS b, 0 AS a FROM b UNION ALL SELECT v, 0, 1 FROM a) GROUP BY v), "
+    "c AS (SELECT abs(sum(b) OVER w / (SELECT count(*) FROM b)::DOUBLE - sum(a) OVER w / (SELECT count(*) FROM a)::DOUBLE) AS gap, lead(v) OVER (ORDER BY v) - v AS dx FROM u WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)), d AS (SELECT max(gap) AS ks, sum(gap * dx) AS w1, (SELECT var_pop(v) FROM a) / (SELECT var_pop(v) FROM b) AS vr, (SELECT stddev_pop(v) FROM b) AS sd FROM c), "
+    "p AS (SELECT *, least(1, 0.4 * ks + 0.4 * least(1, w1 / (sd + 1e-8)) + 0.2 * least(1, abs(log2(vr + 1e-8)))) AS p FROM d) SELECT 'o_totalprice' AS column, round(ks, 6) AS ks, round(w1, 4) AS wasserstein, round(vr, 6) AS variance_ratio, round(p, 6) AS penalty, CASE WHEN p < .05 THEN 'A' WHEN p < .15 THEN 'B' WHEN p < .3 THEN 'C' WHEN p < .5 THEN 'D' ELSE 'F' END AS grade, abs(1 - vr) > .1 AS variance_warning FROM p"
+)
+def penalty_ks_wasserstein(spark, sf_dir):
+    g = gappy(spark, sf_dir)
+    return impute.penalty(g, impute.fill(g, NUM, "mean"), NUM)
+
+
+@query()
+def knn_impute(spark, sf_dir):
+    return impute_mv.knn(gappy(spark, sf_dir).drop("o_orderstatus"), [NUM])
+
+
+@query()
+def mice_impute(spark, sf_dir):
+    line = load(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_partkey") % 9 != 0, F.col("l_extendedprice")).alias("l_extendedprice"), "l_discount", "l_tax")
+    return impute_mv.mice(line, ["l_extendedprice"])
+
+
+# ---------------------------------------------------------------- fuzzy match
+
+_P = "SELECT min(p_partkey) AS rid, p_name AS k FROM part GROUP BY p_name"
+_MUT = "SELECT rid, CASE rid % 3 WHEN 0 THEN replace(k, 'a', 'e') WHEN 1 THEN k || 's' ELSE k END AS k FROM parts"
+
+
+def names(spark, sf_dir):
+    return load(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("_rid")).select("_rid", F.col("p_name").alias("name"))
+
+
+def mutated(spark, sf_dir):
+    n, k = names(spark, sf_dir), F.col("_rid") % 3
+    return n.select("_rid", F.when(k == 0, F.replace(F.col("name"), F.lit("a"), F.lit("e"))).when(k == 1, F.concat("name", F.lit("s"))).otherwise(F.col("name")).alias("name"))
+
+
+_MATCH = f"WITH parts AS ({_P}), m AS ({_MUT}), s AS (SELECT min(rid) AS rid, lower(k) AS k FROM m GROUP BY lower(k)), x AS (SELECT p.rid AS rid_p, s.rid AS rid_s, 100 * jaro_winkler_similarity(lower(p.k), s.k) AS sc FROM parts p, s), b AS (SELECT *, row_number() OVER (PARTITION BY rid_p ORDER BY sc DESC, rid_s) AS r FROM x WHERE sc >= 70), best AS (SELECT rid_p, rid_s, round(sc, 2) AS score, CASE WHEN sc >= 80 THEN 'matched' ELSE 'review' END AS status FROM b WHERE r = 1)"
+
+
+@query(f"{_MATCH} SELECT * FROM best")
+def fuzzy_best_match(spark, sf_dir):
+    return match.best_matches(names(spark, sf_dir), mutated(spark, sf_dir), "name")
+
+
+@query(f"{_MATCH} SELECT p.rid AS _rid_p, p.k AS name_p, m.rid AS _rid_s, m.k AS name_s, score AS _match_score, status AS _match_status FROM best JOIN parts p ON p.rid = rid_p JOIN m ON m.rid = rid_s")
+def fuzzy_merge(spark, sf_dir):
+    p, s = names(spark, sf_dir), mutated(spark, sf_dir)
+    return match.merge(p, s, match.best_matches(p, s, "name"))
+
+
+@query(f"{_MATCH} SELECT rid AS _rid, k AS name FROM m WHERE rid NOT IN (SELECT rid_s FROM best)")
+def fuzzy_unmatched(spark, sf_dir):
+    p, s = names(spark, sf_dir), mutated(spark, sf_dir)
+    return match.unmatched(s, match.best_matches(p, s, "name"), "s")
+
+
+@query(f"{_MATCH} SELECT (SELECT count(*) FROM parts) AS n_primary, count(*) FILTER (status = 'matched') AS n_matched, count(*) FILTER (status = 'review') AS n_review, round(100.0 * count(*) / (SELECT count(*) FROM parts), 2) AS match_rate_pct FROM best")
+def fuzzy_rate(spark, sf_dir):
+    p = names(spark, sf_dir)
+    return match.match_rate(p, match.best_matches(p, mutated(spark, sf_dir), "name"))
+
+
+@query()
+def fuzzy_levenshtein(spark, sf_dir):
+    return match.best_matches(names(spark, sf_dir), mutated(spark, sf_dir), "name", algorithm="levenshtein")
+
+
+@query()
+def fuzzy_token_sort(spark, sf_dir):
+    return match.best_matches(names(spark, sf_dir), mutated(spark, sf_dir), "name", algorithm="token_sort")
+
+
+# ---------------------------------------------------------------- edits, versions, logs
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def filter_sort_limit(spark, sf_dir):
+    o = edits.select_columns(edits.filter_rows(load(spark, sf_dir, "orders"), "o_totalprice", ">", 100000), ["o_orderkey", "o_totalprice", "no_such_column"])
+    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def drop_rows_by_id(spark, sf_dir):
+    gone = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return edits.drop_by_id(load(spark, sf_dir, "orders"), gone, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 50000)")
+def drop_rows_condition(spark, sf_dir):
+    return edits.drop_rows(load(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice < 50000").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice::VARCHAR AS price, try_cast(o_orderstatus AS DOUBLE) AS status FROM orders WHERE o_orderkey % 10 = 0")
+def rename_cast(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    o = edits.rename_columns(o, {"o_orderkey": "id", "o_totalprice": "price", "o_orderstatus": "status"})
+    return edits.cast_column(edits.cast_column(o, "price", "str"), "status", "numeric")
+
+
+@query("SELECT r_name, count(*) AS n_customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def sql_passthrough(spark, sf_dir):
+    reg = Registry(spark)
+    for t in ("customer", "nation", "region"):
+        reg.register(load(spark, sf_dir, t), t)
+    return reg.query("SELECT r_name, count(*) AS n_customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
+@query(f"WITH g AS ({GAPS}) SELECT o_orderkey, coalesce(o_orderstatus, 'Bilinmiyor') AS o_orderstatus, o_totalprice::VARCHAR AS o_totalprice FROM g WHERE o_orderkey NOT IN (0, 1, 2, 3)")
+def version_replay_end_state(spark, sf_dir):
+    store = EventStore(gappy(spark, sf_dir), every=3)
+    store.apply("DROP_COLS", {"columns": ["o_custkey"]})
+    store.apply("IMPUTE", {"columns": ["o_orderstatus"], "method": "constant"})
+    store.apply("DROP_ROWS", {"ids": [0, 1, 2, 3], "rid": "o_orderkey"})
+    store.apply("CUSTOM", fn=lambda df: df.limit(0))
+    store.rollback()
+    store.apply("TYPE_CAST", {"column": "o_totalprice", "to": "str"})
+    return store.materialize()
+
+
+@query(f"WITH g AS ({GAPS}) SELECT o_orderkey AS id, {_LOW.format(x='o_orderstatus')} AS o_orderstatus, round(coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g WHERE o_orderkey > 100)), 4) AS o_totalprice FROM g WHERE o_orderkey > 100")
+def operation_log(spark, sf_dir):
+    log = OperationLog().filter("o_orderkey", ">", 100).drop_cols(["o_custkey"]).impute([NUM], "median").normalize(["o_orderstatus"], ("turkish_lower",)).rename({"o_orderkey": "id"})
+    return log.run(gappy(spark, sf_dir)).withColumn(NUM, F.round(NUM, 4))
+
+
+def _records(spark, sf_dir):
+    status = F.when(F.col("event_id") % 17 == 0, "ERROR").when(F.col("event_id") % 5 == 0, "WARNING").otherwise("SUCCESS")
+    e = load(spark, sf_dir, "events")
+    return e.select(F.upper("event_type").alias("operation"), status.alias("status"), (F.col("event_id") % 100).cast("double").alias("duration_ms"), F.struct((F.col("event_id") % 7 - 3).cast("double").alias("cohen_d")).alias("effect_size"))
+
+
+_REC = "(SELECT upper(event_type) AS operation, CASE WHEN event_id % 17 = 0 THEN 'ERROR' WHEN event_id % 5 = 0 THEN 'WARNING' ELSE 'SUCCESS' END AS status, (event_id % 100)::DOUBLE AS ms, (event_id % 7 - 3)::DOUBLE AS d FROM events)"
+
+
+@query(f"SELECT operation, count(*) AS n, count(*) FILTER (status = 'SUCCESS') AS n_success, count(*) FILTER (status = 'WARNING') AS n_warning, count(*) FILTER (status = 'ERROR') AS n_error, round(avg(abs(d)), 4) AS mean_abs_d, round(avg(ms), 3) AS mean_ms FROM {_REC} GROUP BY operation")
+def audit_rollup(spark, sf_dir):
+    return auditlog.rollup(_records(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (status = 'ERROR') AS n_errors, count(*) FILTER (status = 'WARNING') AS n_warnings, greatest(0, least(100, 100 - 10 * count(*) FILTER (status = 'ERROR') - 3 * count(*) FILTER (status = 'WARNING')))::BIGINT AS quality FROM {_REC}")
+def audit_quality(spark, sf_dir):
+    return auditlog.session_quality(_records(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- anomalies
+
+
+@query()
+def isolation_forest(spark, sf_dir):
+    line = load(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return anomaly.isolation_forest(line).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "_score", "_is_anomaly")
+
+
+@query()
+def lof(spark, sf_dir):
+    return anomaly.local_outlier_factor(load(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("s_nation")), "s_suppkey", ["s_acctbal", "s_nation"])
+
+
+@query("WITH m AS (SELECT avg(value) AS a, stddev_samp(value) AS s FROM events) SELECT event_id, round((value - a) / (s + 1e-8), 6) AS z FROM events, m")
+def zscores(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    m = e.agg(F.avg("value").alias("a"), F.stddev("value").alias("s"))
+    return e.crossJoin(F.broadcast(m)).select("event_id", F.round(N.zscore(F.col("value"), F.col("a"), F.col("s")), 6).alias("z"))
