@@ -197,7 +197,7 @@ class Transducer:
 class Encoder:
     """Whole texts to packed ids (little-endian unsigned 32-bit)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 500_000, max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 700_000, max_states: int = 150_000):
         self.machine = Transducer(ranks, max_states)
         self.pieces = regex.compile(pattern).findall
         self.words = _Memo(self._word, max_words)
@@ -230,9 +230,9 @@ class Encoder:
 
 
 class _Memo(dict):
-    """Values by key, computed at the first look; emptied when full."""
+    """Values by key, computed at the first look; emptied when full. Long keys hardly ever come again and aren't kept."""
 
-    def __init__(self, fn, most: int, longest: int = 200):
+    def __init__(self, fn, most: int, longest: int = 16):
         super().__init__()
         self.fn, self.most, self.longest = fn, most, longest
 
