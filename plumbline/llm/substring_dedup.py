@@ -42,7 +42,7 @@ from plumbline.llm.common import materialize, picked, release_memory
 
 WINDOW, GRAM = 100, 32
 #: Text bytes for each bucket and for each group of documents, and for one pass in a map task.
-BUCKET_BYTES, PASS_BYTES, PIECE = 16 << 20, 24 << 20, 1 << 20
+BUCKET_BYTES, PASS_BYTES, PIECE = 16 << 20, 8 << 20, 1 << 19
 #: Cells of one anchor from which it counts as hot, in a map task and in a bucket.
 HOT_LOCAL, HOT = 64, 4000
 
@@ -211,6 +211,7 @@ def _records(table: pa.Table, dtype: np.dtype, kind: int | None = None) -> np.nd
 
 def _cells(docs: DataFrame, buckets: int, hot_local: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory(caches=True)
         found: list[np.ndarray] = []
         texts, ids, shifts, size, passed = [], [], [], 0, 0
 
@@ -277,6 +278,8 @@ def _match_cells(cells: DataFrame, groups: int, hot: int) -> DataFrame:
             flags, edges = every[every["tag"] == FLAG], every[(every["tag"] == EDGE) | (every["tag"] == HOT_EDGE)]
             yield from _batches(["dest", "kind", "blob"], _dest(flags["doc"].copy(), groups), _cuts(flags), {"kind": 0})
             yield from _batches(["dest", "kind", "blob"], _dest(edges["doc"].copy(), groups), edges, {"kind": 1})
+            del every, flags, edges, done, rest
+            release_memory()
 
     return cells.mapInArrow(run, "dest int, kind int, blob binary")
 
@@ -325,6 +328,7 @@ def _edge_text(texts: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
             cuts = merged(cuts)
             rows += _batches(names, np.mod(spark_hash(cuts["doc"].copy()), buckets), cuts, {"kind": 2})
         empty = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+        release_memory()
         return pa.Table.from_batches(rows) if rows else empty.empty_table()
 
     return texts.groupBy("dest").cogroup(found.where("kind = 1").groupBy("dest")).applyInArrow(join, "bucket int, kind int, blob binary")
@@ -482,6 +486,8 @@ def _match_edges(edge_text: DataFrame, buckets: int, groups: int) -> DataFrame:
                 known.append(first_and_rest(np.concatenate(solo))[1])
             cuts = merged(np.concatenate(known))
             yield from _batches(["dest", "kind", "blob"], _dest(cuts["doc"].copy(), groups), cuts, {"kind": 0})
+            del cells, data, solo, known, cuts
+            release_memory()
 
     rows = edge_text.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "dest int, kind int, blob binary")
@@ -524,6 +530,7 @@ def _cut(texts: DataFrame, cuts: DataFrame) -> DataFrame:
             out["n_spans"].append(len(mine))
             out["kept"].append(remaining(text, mine))
         types = [pa.int64()] * 4 + [pa.binary()]
+        release_memory()
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
     return texts.groupBy("dest").cogroup(cuts.groupBy("dest")).applyInArrow(join, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
