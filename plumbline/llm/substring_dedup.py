@@ -136,6 +136,8 @@ def cells_of(texts: list[bytes], docs: list[int], shifts: list[int]) -> np.ndarr
 
 def settle(cells: np.ndarray, marked: np.ndarray, local: bool, hot_from: int) -> np.ndarray:
     """Equal cells become flags; in a bucket, cells of anchors that have several become edges."""
+    if not len(cells):
+        return cells
     cells = cells[np.lexsort((cells["start"], cells["doc"], cells["cell"], cells["anchor"]))]
     same_anchor = np.r_[False, cells["anchor"][1:] == cells["anchor"][:-1]]
     same_place = np.r_[False, (cells["doc"][1:] == cells["doc"][:-1]) & (cells["start"][1:] == cells["start"][:-1])]
@@ -143,8 +145,6 @@ def settle(cells: np.ndarray, marked: np.ndarray, local: bool, hot_from: int) ->
     cells, same, same_anchor = (x[~(same & same_place)] for x in (cells, same, same_anchor))  # a row given twice
     cells["tag"][same] = FLAG
     group = np.cumsum(~same_anchor) - 1
-    if not len(group):
-        return cells
     kinds = np.bincount(group[~same], minlength=group[-1] + 1)
     if local:
         hot = kinds > hot_from
@@ -484,7 +484,7 @@ def _match_edges(edge_text: DataFrame, buckets: int, groups: int) -> DataFrame:
                 known.append(edge_repeats(np.concatenate(cells), np.frombuffer(b"".join(data), dtype=np.uint8)))
             if solo:
                 known.append(first_and_rest(np.concatenate(solo))[1])
-            cuts = merged(np.concatenate(known))
+            cuts = merged(np.concatenate(known)) if known else np.empty(0, dtype=CUT)
             yield from _batches(["dest", "kind", "blob"], _dest(cuts["doc"].copy(), groups), cuts, {"kind": 0})
             del cells, data, solo, known, cuts
             release_memory()
