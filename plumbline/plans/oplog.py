@@ -20,8 +20,8 @@ class OperationLog:
         self.steps: list[dict] = []
         self._custom: dict[int, Callable[[DataFrame], DataFrame]] = {}
 
-    def _add(self, op: str, **params) -> OperationLog:
-        self.steps.append({"op": op, "params": params, "timestamp": datetime.now(timezone.utc).isoformat()})
+    def _add(self, step: str, /, **params) -> OperationLog:
+        self.steps.append({"op": step, "params": params, "timestamp": datetime.now(timezone.utc).isoformat()})
         return self
 
     def load(self, path: str, fmt: str = "parquet"):

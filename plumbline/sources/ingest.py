@@ -105,16 +105,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
     if encoding in _NATIVE:
         df = reader.options(encoding=_NATIVE[encoding], multiLine='"' in text).csv(path)
     else:
-        rows = spark.read.options(encoding="ISO-8859-1").text(path)  # one byte, one character, split at line breaks
+        rows = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))  # lines as raw bytes
         name = encoding
 
         @F.pandas_udf("string")
         def decoded(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: v.encode("latin-1").decode(name, "replace"), na_action="ignore")
+            return s.map(lambda v: bytes(v).decode(name, "replace"), na_action="ignore")
 
         parsed = F.from_csv(decoded("value"), f"{schema}, _bad string", {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"'})
         first = text.splitlines()[0]
-        df = rows.where(F.col("value") != first.encode(encoding).decode("latin-1")).select(parsed.alias("r")).select("r.*")
+        df = rows.where(F.col("value") != F.lit(bytearray(first.encode(encoding)))).select(parsed.alias("r")).select("r.*")
     # a corrupt record is too long, or too short and padded; only long ones go: a quote-free count of delimiters tells
     fields = F.size(F.split(F.regexp_replace("_bad", '"[^"]*"', ""), re.escape(delimiter)))
     df = df.where(F.col("_bad").isNull() | (fields <= len(names))).drop("_bad")
