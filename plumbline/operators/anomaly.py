@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.operators.profile import numeric_columns
-from plumbline.runtime import materialize, ship
+from plumbline.runtime import materialize, sample_by_hash, ship
 
 EULER = 0.5772156649015329
 #: Rows for which the quadratic local outlier factor is allowed.
@@ -103,7 +103,7 @@ def isolation_forest(df: DataFrame, columns: list[str] | None = None, contaminat
     ship(df.sparkSession)
     x, cols, _, _ = prepared(df, columns)
     names = [f"_f{i}" for i in range(len(cols))]
-    pool = x.select(*names).orderBy(F.xxhash64(*names, F.lit(seed))).limit(sample).collect()  # bounded by `sample`
+    pool = sample_by_hash(x.select(*names), names, sample, seed).collect()  # bounded by `sample`
     if not pool:
         return df.select("*", F.lit(None).cast("double").alias("_score"), F.lit(False).alias("_is_anomaly"), F.lit(None).cast("map<string,double>").alias("_contributions"))
     forest = df.sparkSession.sparkContext.broadcast(grow(np.array(pool, dtype=float), n_trees, seed=seed))

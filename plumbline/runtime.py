@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -52,3 +53,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return spark.read.schema(schema).parquet(path)
+
+
+def sample_by_hash(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``columns``; the same rows at any partitioning.
+
+    A bound on the hash, from a count, is applied first. Else each partition would send
+    ``n`` rows of its own to the driver.
+    """
+    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns])
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(h <= int(2.0**64 * 2 * n / total) - 2**63)
+    return df.orderBy(h, *[F.col(f"`{c}`") for c in columns]).limit(n)
