@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, picked, release_memory
+from plumbline.runtime import sample_by_hash
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 UNKNOWN = "und"
@@ -138,10 +139,12 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, sample: int = 4000) -> Network:
     """Trains on at most ``sample`` labelled texts, one window of each."""
-    usable = picked(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    usable = picked(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     length = F.length("text")
     offset = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.lit(1), length - WINDOW)).cast("int") + 1
-    chosen = usable.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", offset, F.lit(WINDOW)).alias("piece"), "lang").orderBy("h", "doc_id", "piece").limit(sample).collect()
+    pieces = usable.select("doc_id", F.substring("text", offset, F.lit(WINDOW)).alias("piece"), "lang")
+    rows = [r for r in sample_by_hash(pieces, ["doc_id"], sample).collect() if r["piece"]]  # at most `sample`
+    chosen = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["lang"]))  # their order sets the batches
     return train([r["piece"] for r in chosen], [r["lang"] for r in chosen])
 
 
