@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, picked
+from plumbline.runtime import sample_by_hash
 
 FEATURES = (
     "words", "word_bytes", "distinct_words", "longest_word", "short_words", "lines", "line_words", "repeated_lines",
@@ -166,7 +167,7 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     """Fits on the features of at most ``sample`` labelled rows that aren't held out."""
     usable = picked(labels, "doc_id", "quality").where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = sample_by_hash(usable, ["doc_id"], sample)
 
     def make():
         return lambda cols: {"quality": cols["quality"], "x": [features_of(t) for t in cols["text"]]}
