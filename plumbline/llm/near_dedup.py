@@ -4,9 +4,9 @@
    smallest hashes. Documents with equal shingle sets form a class, represented by
    its smallest doc_id, so copies are never compared.
 2. Inverted lists of retained values: for a pair at the wanted similarity, at least
-   ``LEAST`` of the smallest ``K`` values of the union lie in both sketches (all but
-   about one pair in 1e9). So it's enough that each document enters the lists of its
-   ``K - LEAST + 1`` values that are rarest among the sketches: two such documents
+   ``least_shared(share)`` of the smallest ``K`` values of the union lie in both sketches
+   (all but about one pair in 1e9). So it's enough that each document enters the lists of
+   its ``K - least + 1`` values that are rarest among the sketches: two such documents
    meet in one of them, and passages that many documents share make no long lists.
 3. In a list, the union sketch (the ``K`` smallest values of both) estimates
    similarity and joins documents into candidate groups; only a spanning forest of
@@ -27,6 +27,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,23 @@ from plumbline.llm.common import arrow_map, materialize, picked, release_memory
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_set
 
-K, LEAST = 32, 12
+K = 32
 #: Rows of a list, and of a group, that one block holds at most, about; and shingles of a group.
 LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1500, 1000, 500_000
-#: Percent of the union that linked documents share at least.
-SHARE = 85
+#: Percent of the union that linked documents share at least, where no contract says otherwise.
+SHARE = 80
 
 _U = np.uint64
 
 
+def least_shared(share: int) -> int:
+    """How many of the ``K`` smallest values of the union all but one in 1e9 pairs at ``share`` percent have in common."""
+    p, missed, n = share / 100, 0.0, 0
+    while n < K and (missed := missed + comb(K, n) * p**n * (1 - p) ** (K - n)) <= 1e-9:
+        n += 1
+    return max(1, n)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fp (hash of the whole set; null if empty) and sketch (smallest K hashes, ascending as unsigned)."""
 
@@ -65,13 +74,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return arrow_map(picked(docs, "doc_id", "text"), make, "doc_id long, n_shingles long, fp string, sketch array<long>")
 
 
-def _prefix_entries(reps: DataFrame) -> DataFrame:
+def _prefix_entries(reps: DataFrame, share: int) -> DataFrame:
     """(v, rep, n_shingles, sketch): each representative in the lists of its rarest values, lists of one left out."""
     spread = reps.select("rep", F.explode("sketch").alias("v"))
     shared = spread.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
     ranked = spread.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("seen"))
     joined = reps.join(ranked, "rep")
-    need = F.least(F.lit(LEAST), F.ceil(F.col("n_shingles") * SHARE / 100)).cast("int")
+    need = F.least(F.lit(least_shared(share)), F.ceil(F.col("n_shingles") * share / 100)).cast("int")
     # values that no other sketch has come first in the order of rarity and take their places in the prefix
     places = F.size("sketch") - need + 1 - (F.size("sketch") - F.size("seen"))
     top = F.when(places > 0, F.slice("seen", F.lit(1), F.greatest(places, F.lit(1))))
@@ -114,20 +123,22 @@ def _forest(n: int, near) -> Iterator[tuple[int, int]]:
             free = free[~hit]
 
 
-def _list_edges(n: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, int]]:
+def _list_edges(n: np.ndarray, sketch: np.ndarray, share: int) -> Iterator[tuple[int, int]]:
+    enough = least_shared(share)
+
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        fits = (100 * np.minimum(n[others], n[i]) >= SHARE * np.maximum(n[others], n[i]))
+        fits = (100 * np.minimum(n[others], n[i]) >= share * np.maximum(n[others], n[i]))
         hit = np.zeros(len(others), dtype=bool)
         some = others[fits]
         if len(some):
-            least = np.minimum(LEAST, np.ceil(np.minimum(n[some], n[i]) * SHARE / 100))
+            least = np.minimum(enough, np.ceil(np.minimum(n[some], n[i]) * share / 100))
             hit[fits] = _union_counts(sketch[i], sketch[some]) >= least
         return hit
 
     return _forest(len(n), near)
 
 
-def _group_edges(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def _group_edges(sets: list[np.ndarray], share: int) -> Iterator[tuple[int, int]]:
     """Spanning forest of the links between full shingle sets."""
     sizes = np.array([len(s) for s in sets])
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -136,7 +147,7 @@ def _group_edges(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     flag = np.zeros(len(ids), dtype=np.int64)
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        fits = 100 * np.minimum(sizes[others], sizes[i]) >= SHARE * np.maximum(sizes[others], sizes[i])
+        fits = 100 * np.minimum(sizes[others], sizes[i]) >= share * np.maximum(sizes[others], sizes[i])
         hit = np.zeros(len(others), dtype=bool)
         some = others[fits]
         if len(some):
@@ -145,7 +156,7 @@ def _group_edges(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
             where = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), sizes[some]) + np.arange(sizes[some].sum())
             common = np.add.reduceat(flag[flat[where]], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
             flag[own] = 0
-            hit[fits] = 100 * common >= SHARE * (sizes[some] + sizes[i] - common)
+            hit[fits] = 100 * common >= share * (sizes[some] + sizes[i] - common)
         return hit
 
     return _forest(len(sets), near)
@@ -181,9 +192,9 @@ def _grouped(rows: DataFrame, keys: list[str], edges, columns: list[str]) -> Dat
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
+def candidate_edges(reps: DataFrame, share: int = SHARE) -> DataFrame:
     """Edges (a, b) that join documents whose union sketch passes, a forest for each list."""
-    entries = in_blocks(_prefix_entries(reps), "v", "rep", F.ceil(F.col("n") / LIST_BLOCK))
+    entries = in_blocks(_prefix_entries(reps, share), "v", "rep", F.ceil(F.col("n") / LIST_BLOCK))
 
     def edges(t: pa.Table) -> Iterator[tuple[int, int]]:
         ids = t.column("rep").to_pylist()
@@ -192,13 +203,13 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         sk = np.full((len(ids), K), np.iinfo(_U).max, dtype=_U)
         for r, s in enumerate(t.column("sketch").to_pylist()):
             sk[r, : len(s)] = np.array(s, dtype=np.int64).view(_U)
-        for a, b in _list_edges(np.array(t.column("n_shingles").to_pylist()), sk):
+        for a, b in _list_edges(np.array(t.column("n_shingles").to_pylist()), sk, share):
             yield ids[a], ids[b]
 
     return _grouped(entries, ["v", "_i", "_j"], edges, ["rep", "n_shingles", "sketch"])
 
 
-def link_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def link_edges(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
     """Edges (a, b) between linked documents of each candidate group (node, component, n_shingles), a forest for each block pair."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     members = groups.join(sizes, "component")
@@ -217,21 +228,21 @@ def link_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
     def edges(t: pa.Table) -> Iterator[tuple[int, int]]:
         ids = t.column("node").to_pylist()
         sets = [np.frombuffer(s, dtype=_U) for s in t.column("shingles").to_pylist()]
-        for a, b in _group_edges(sets):
+        for a, b in _group_edges(sets, share):
             yield ids[a], ids[b]
 
     return _grouped(in_blocks(full, "component", "node", blocks), ["component", "_i", "_j"], edges, ["node", "shingles"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document row."""
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each document row; ``share`` percent of the union links documents."""
     sk = materialize(sketches(docs), "sketches")
     filled = sk.where("fp is not null and doc_id is not null")
     classes = filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = materialize(classes, "classes")
-    groups = components(candidate_edges(reps.select("rep", "n_shingles", "sketch")))
+    groups = components(candidate_edges(reps.select("rep", "n_shingles", "sketch"), share))
     sized = groups.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    found = components(link_edges(docs, materialize(sized, "groups")).unionByName(_same_id(filled, reps)))
+    found = components(link_edges(docs, materialize(sized, "groups"), share).unionByName(_same_id(filled, reps)))
     whole = sk.join(reps.select("fp", "rep"), "fp", "left").join(found.select(F.col("node").alias("rep"), F.col("component").alias("_to")), "rep", "left")
     to = F.when(F.col("doc_id").isNotNull(), F.coalesce("_to", "rep", "doc_id"))
     return whole.select("doc_id", "n_shingles", to.alias("component_id"), F.col("doc_id").eqNullSafe(to).alias("kept"))
@@ -243,7 +254,7 @@ def _same_id(filled: DataFrame, reps: DataFrame) -> DataFrame:
     return of.where("a <> b").select("a", "b")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One document of each component stays, that with the smallest doc_id, with all its columns."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, share).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")  # as many as the corpus has copies, so never broadcast

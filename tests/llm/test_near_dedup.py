@@ -67,3 +67,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 400: 400, 450: 400, 500: 400}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_share_is_a_parameter(spark):
+    words = [f"w{i}" for i in range(100)]
+    edited = [w if i not in (30, 60) else f"n{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited))]  # 86 of 106 shingles, 0.81
+    assert (D.least_shared(80), D.least_shared(85)) == (10, 12)
+    for share, kept in ((80, {1}), (85, {1, 2})):
+        assert {r["doc_id"] for r in D.keep_first(docs(spark, rows), share).collect()} == kept
+    assert D.keep_first(docs(spark, rows)).count() == 1
