@@ -2,10 +2,11 @@
 
 The text itself is the first layer. Each layer taken from the worklist is scanned
 for every kind of secret, then unwrapped in each way that applies; what comes out
-are new layers. A layer that was seen before is not taken again, so cycles (a
-compressed file that unpacks to itself, say) end, and the worklist ends when no way
-of unwrapping gives anything new. Spans found in a layer are mapped back through
-the layers to code points of the text.
+are new layers. A layer that was seen before at the same place of the text is not
+taken again, so cycles (a compressed file that unpacks to itself, say) end, and the
+worklist ends when no way of unwrapping gives anything new. Equal layers at several
+places are each taken. Spans found in a layer are mapped back through the layers to
+code points of the text.
 
 Null and empty texts have no spans. Long texts are scanned whole. Repeated rows each
 give a row; equal spans found in several layers count once; extra columns are ignored.
@@ -169,31 +170,43 @@ def _blobs(text: str, max_layer: int) -> Iterator[Layer]:
 _STANDARD = str.maketrans("-_", "+/")
 
 
+def _children(layer: str, max_layer: int) -> Iterator[Layer]:
+    """What one step of each way of unwrapping gives."""
+    if "%" in layer and (child := _replaced(layer, _URL, _url)):
+        yield child
+    if ("\\" in layer or "&#" in layer or "+" in layer) and (child := _replaced(layer, _UNICODE, _unicode)):
+        yield child
+    yield from _blobs(layer, max_layer)
+
+
 def deeper_spans(text: str, max_layer: int = 16 << 20) -> set[Span]:
     """Spans found in layers below the text, in code points of the text."""
     found: set[Span] = set()
-    work: list[Layer] = [(text, lambda k: k, lambda k: k)]
-    seen = {text}
+    seen = {(_digest(text), 0, len(text))}
+    work = [(_children(text, max_layer), lambda k: k, lambda k: k)]
     while work:
-        layer, start_of, end_of = work.pop()
-        children: list[Layer] = []
-        if "%" in layer:
-            children.append(_replaced(layer, _URL, _url))
-        if "\\" in layer or "&#" in layer or "+" in layer:
-            children.append(_replaced(layer, _UNICODE, _unicode))
-        children += _blobs(layer, max_layer)
-        for child in children:
-            if child is None or child[0] in seen:
-                continue
-            inner, s, e = child
-            seen.add(inner)
-            to_start = lambda k, s=s, f=start_of: f(s(k))
-            to_end = lambda k, e=e, f=end_of: f(e(k))
+        children, start_of, end_of = work[-1]
+        child = next(children, None)
+        if child is None:
+            work.pop()
+            continue
+        inner, s, e = child
+        if not inner:
+            continue
+        to_start = lambda k, s=s, f=start_of: f(s(k))
+        to_end = lambda k, e=e, f=end_of: f(e(k))
+        key = _digest(inner), to_start(0), to_end(len(inner))
+        if key not in seen:
+            seen.add(key)
             found.update((to_start(a), kind, to_end(b)) for a, kind, b in plain_spans(inner))
-            work.append((inner, to_start, to_end))
+            work.append((_children(inner, max_layer), to_start, to_end))
     return found
 
 
+def _digest(layer: str) -> bytes:
+    return hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with those of deeper layers, both in order."""
     if not text:

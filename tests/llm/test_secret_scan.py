@@ -64,3 +64,14 @@ def test_all_documents_and_edges(spark, sf):
     assert len(got) == len(EDGES) + 1 and max(r["n_assign"] for r in got) == 5000
     assert S.scan(docs(spark, [])).count() == 0
     assert {r["text"] for r in S.redact(docs(spark, [(1, "x token=abcdefgh y"), (2, None)])).collect()} == {"x [SECRET] y", None}
+
+
+@pytest.mark.parametrize("inner", WRAPS)
+@pytest.mark.parametrize("outer", [*WRAPS, None])
+def test_equal_layers_at_several_places(inner, outer):
+    hidden = WRAPS[inner]('password = "hunter22abc"')
+    once = WRAPS[outer](hidden) if outer else hidden
+    text = " and ".join([once] * 3)
+    starts = {a for a, k, _ in S.scan_text(text)[1] if k == 0}
+    assert starts == {k * (len(once) + 5) for k in range(3)}
+    assert once not in S.redacted(text)
