@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,28 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     assert one(audit.anova(df, "v", "g"))["n"] == 500
     assert one(hypothesis.kruskal(df, "v", "g")) == one(hypothesis.kruskal(df.coalesce(1), "v", "g"))
     assert one(audit.describe(df, "v")) == one(audit.describe(df.coalesce(1), "v"))
+
+
+def test_knn_compares_with_all_rows_in_blocks(spark):
+    rnd = random.Random(3)
+    some = lambda v, p: None if rnd.random() < p else v
+    rows = [(some(rnd.gauss(0, 3), 0.1), some(rnd.uniform(0, 9), 0.1), some(rnd.random(), 0.3)) for _ in range(300)] + [(None, None, None)]
+    x = np.array(rows, dtype=float)
+    low, mid, high = np.nanpercentile(x, [25, 50, 75], axis=0)
+    z = (x - mid) / (high - low)
+    want = {}
+    for i, r in enumerate(z):
+        near = sorted((np.sqrt(3 / m.sum() * ((d - r)[m] ** 2).sum()), d[2]) for d in z if (m := ~np.isnan(d) & ~np.isnan(r)).any() and not np.isnan(d[2]))[:5]
+        v = sum(t / d for d, t in near) / sum(1 / d for d, _ in near) if near and near[0][0] else 0.0
+        want[str(i)] = v * (high - low)[2] + mid[2] if np.isnan(r[2]) else rows[i][2]
+    df = frame(spark, [(str(i), *r) for i, r in enumerate(rows)], "id string, a double, b double, t double")
+    for values in (400, 4000):
+        got = impute_mv.knn(df, ["t"], block_values=values)
+        assert got.columns == df.columns
+        assert {r["id"]: r["t"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_knn_finds_the_one_near_row_of_many(spark):
+    df = spark.range(60_000).select((F.col("id") * 1.0).alias("a"), F.when(F.col("id") % 1000 != 500, F.col("id") * 2.0).alias("t"))
+    got = impute_mv.knn(df, ["t"], k=2).where("a % 1000 = 500").collect()
+    assert len(got) == 60 and all(abs(r["t"] - 2 * r["a"]) < 1e-6 for r in got)
