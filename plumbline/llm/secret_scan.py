@@ -10,13 +10,16 @@ code points of the text.
 
 Null and empty texts have no spans. Long texts are scanned whole. Repeated rows each
 give a row; equal spans found in several layers count once; extra columns are ignored.
-Compressed data unpacks to at most ``max_layer`` bytes a layer (a guard against
-decompression bombs; what lies beyond it in such a layer isn't scanned).
+Compressed data is unpacked to its end, with all members of a stream and what follows
+them. What unpacks to more than ``max_layer`` characters is taken in pieces, cut only at
+line ends that no pattern spans. Base64 that is wrapped in lines is decoded line by line
+and joined.
 """
 
 from __future__ import annotations
 
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -123,22 +126,131 @@ def _unicode(escape: str) -> str:
 
 
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _PRINTABLE = re.compile(rb"[\x09\x0a\x0d\x20-\x7e\x80-\xff]*\Z")
-
-
-def _inflated(raw: bytes, max_layer: int) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=;}\r\n-]\r?\n|\n(?![A-Za-z0-9+/_=%\\&-])")
+_CHUNK = 1 << 20
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(chunks: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
+    """Unpacked data of all members in chunks, up to a fault if there is one; what follows the last member goes to ``rest``."""
+    member, data = zlib.decompressobj(wbits=47), b""
+    for chunk in chunks:
+        data += chunk
+        while member is not None and data:
+            try:
+                out = member.decompress(data, _CHUNK)
+                data = member.unconsumed_tail
+                while out:
+                    yield out
+                    if len(out) < _CHUNK and not data:
+                        break
+                    out = member.decompress(data, _CHUNK)
+                    data = member.unconsumed_tail
+            except zlib.error:
+                return
+            if member.eof:
+                data = member.unused_data
+                member = zlib.decompressobj(wbits=47) if _packed(data) else None
+    if member is None:
+        rest.append(data)
+
+
+def _level(raw: bytes, depth: int, rest: list[bytes]) -> Iterator[bytes]:
+    chunks = iter([raw])
+    for _ in range(depth):
+        rest.clear()
+        chunks = _inflated(chunks, rest)
+    return chunks
+
+
+def _pieces(chunks: Iterator[bytes], size: int) -> Iterator[str]:
+    """Text of the chunks in pieces of about ``size``; it ends where the data is no text."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")(), ""
+    for data in chunks:
+        if not _PRINTABLE.match(data):
+            return
         try:
-            return zlib.decompressobj(wbits=47).decompress(raw, max_layer)
-        except zlib.error:
-            return None
-    return None
+            new = decoder.decode(data)
+        except UnicodeDecodeError:
+            return
+        look = max(0, len(held) - 2)
+        held += new
+        if len(held) > size:
+            cut = max((m.end() for m in _BREAK.finditer(held, look)), default=0)
+            if cut:
+                yield held[:cut]
+                held = held[cut:]
+    if held:
+        yield held
+
+
+def _unpacked(raw: bytes, max_layer: int) -> Iterator[str]:
+    """Texts in packed data, however often it was packed; none if it isn't packed."""
+    depth, seen = 0, set()
+    while True:
+        head = b""
+        for chunk in _level(raw, depth, []):
+            head += chunk
+            if len(head) > 2:
+                break
+        if not _packed(head):
+            break
+        whole = hashlib.blake2b()
+        some = False
+        for chunk in _level(raw, depth + 1, []):
+            whole.update(chunk)
+            some = True
+        if not some or whole.digest() in seen:  # no packed data, or data that unpacks to itself
+            break
+        seen.add(whole.digest())
+        depth += 1
+    for d in range(1, depth + 1):
+        rest: list[bytes] = []
+        chunks = _level(raw, d, rest)
+        if d == depth:
+            yield from _pieces(chunks, max_layer)
+        for _ in chunks:
+            pass
+        if rest and rest[0]:
+            yield from _pieces(iter(rest), max_layer)
+
+
+def _runs(text: str) -> Iterator[tuple[str, Pieces]]:
+    """Base64 runs of one line, and those that lines of one length, with what may begin and end them, make together."""
+    for m in _BASE64.finditer(text):
+        pieces = Pieces()
+        pieces.add(m.end() - m.start(), m.start(), m.end(), True)
+        yield m.group(), pieces
+    if "\n" not in text:
+        return
+    for m in _LINES.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        size = [len(text[a:b].rstrip("=")) for a, b in lines]
+        a = 0
+        while a < len(lines):
+            b = a + 1
+            while b < len(lines) and size[b] == size[a]:
+                b += 1
+            if size[a] >= 16:
+                for first in {a, max(0, a - 1)}:
+                    for last in {b, b + 1 if b < len(lines) and size[b] < size[a] else b}:
+                        if last - first > 1:
+                            pieces = Pieces()
+                            for x, y in lines[first:last]:
+                                pieces.add(y - x, x, y, True)
+                            yield "".join(text[x:y] for x, y in lines[first:last]), pieces
+            a = b
 
 
 def _blobs(text: str, max_layer: int) -> Iterator[Layer]:
     """Layers inside base64 runs, packed or plain. Spans of packed data map to the whole run."""
-    for m in _BASE64.finditer(text):
-        run = m.group()
+    for run, pieces in _runs(text):
         body = run.rstrip("=")
         if len(body) % 4 == 1:
             body = body[:-1]
@@ -146,25 +258,20 @@ def _blobs(text: str, max_layer: int) -> Iterator[Layer]:
             raw = binascii.a2b_base64(body.translate(_STANDARD) + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        start, end = m.span()
-        unpacked, packed = _inflated(raw, max_layer), False
-        while unpacked is not None:
-            raw, packed = unpacked, True
-            unpacked = _inflated(raw, max_layer)
-            if unpacked == raw:  # data that unpacks to itself
-                break
+        start, end = pieces.start_of(0), pieces.end_of(len(run))
+        if _packed(raw):
+            for inner in _unpacked(raw, max_layer):
+                yield inner, lambda _, s=start: s, lambda _, e=end: e
         if not _PRINTABLE.match(raw):
             continue
         try:
             inner = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if packed:
-            yield inner, lambda _, s=start: s, lambda _, e=end: e
-        else:
-            ascii_only = len(inner) == len(raw)
-            bytes_to = (lambda k: k) if ascii_only else (lambda k, t=inner: len(t[:k].encode()))
-            yield inner, (lambda k, s=start, f=bytes_to: s + f(k) * 4 // 3), (lambda k, s=start, e=end, f=bytes_to: min(e, s - (-f(k) * 4 // 3)))
+        ascii_only = len(inner) == len(raw)
+        bytes_to = (lambda k: k) if ascii_only else (lambda k, t=inner: len(t[:k].encode()))
+        start_of = lambda k, f=bytes_to, p=pieces: p.start_of(min(p.end - 1, f(k) * 4 // 3))
+        yield inner, start_of, (lambda k, f=bytes_to, p=pieces: p.end_of(max(1, min(p.end, -(-f(k) * 4 // 3)))))
 
 
 _STANDARD = str.maketrans("-_", "+/")

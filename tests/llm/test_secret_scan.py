@@ -75,3 +75,35 @@ def test_equal_layers_at_several_places(inner, outer):
     starts = {a for a, k, _ in S.scan_text(text)[1] if k == 0}
     assert starts == {k * (len(once) + 5) for k in range(3)}
     assert once not in S.redacted(text)
+
+
+SECRET = 'password = "hunter22abc"'
+
+
+def _kinds(raw, **how):
+    return {k for _, k, _ in S.deeper_spans("x " + base64.b64encode(raw).decode() + " y", **how)}
+
+
+def test_packed_data_to_its_end():
+    filler = "é line of text, with nothing\n" * 3000
+    assert 0 in _kinds(gzip.compress((filler + SECRET).encode()), max_layer=5000)
+    assert 0 in _kinds(gzip.compress(gzip.compress((filler * 20 + SECRET).encode())))
+    assert 0 in _kinds(gzip.compress(b"first member") + gzip.compress(SECRET.encode()))
+    assert 0 in _kinds(gzip.compress(b"a member") + SECRET.encode())
+    assert 0 in _kinds(gzip.compress(b"a " * (10 << 20) + SECRET.encode()))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_base64(end):
+    rnd = random.Random(2)
+    noise = " ".join(str(rnd.random()) for _ in range(60))
+    for raw in (f"{noise} {SECRET}".encode(), gzip.compress(f"{noise} {SECRET}".encode())):
+        for cut in (76, 64):
+            b = base64.b64encode(raw).decode()
+            text = "data: " + end + end.join(b[i : i + cut] for i in range(0, len(b), cut)) + end + "Regards, me"
+            spans = [s for s in S.deeper_spans(text) if s[1] == 0]
+            assert spans and "hunter22abc" not in "".join(S.redacted(text))
+            if raw[:1] != b"\x1f":
+                flat = [len(text[:a].replace(end, "")) for a, _, _ in spans]
+                at = raw.index(b"password")
+                assert 6 + at * 4 // 3 in flat
