@@ -32,10 +32,10 @@ _TOKEN = re.compile(
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-RAW = frozenset("script style template noscript iframe svg canvas object textarea title select math audio video".split())
+RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NEVER = frozenset("nav footer aside form button fieldset dialog menu head".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+NEVER = frozenset("nav footer aside form button fieldset dialog menu head option".split())
 MAIN = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies disclaimer disqus dock "
@@ -108,7 +108,7 @@ def blocks_of(html: str) -> list[Block]:
             continue
         tag, closing, attrs = tag.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if tag in RAW and not closing:
-            if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if not attrs.rstrip().endswith("/") or tag != "iframe":
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
             border()
@@ -127,7 +127,7 @@ def blocks_of(html: str) -> list[Block]:
             border()
         else:
             anchors = 0
-            if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1].tag == tag or tag != "p" and stack[-1].tag == "p":
+            if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1].tag == tag or stack[-1].tag == "option" or tag != "p" and stack[-1].tag == "p":
                 close(stack[-1].tag)
             elif tag == "p" and open_tags["p"]:
                 close("p")

@@ -50,3 +50,11 @@ def test_edges(spark):
     got = X.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r["n_chars"] for r in got) == sorted([0, 0, 0, 0, 0, len("Tail without end, but a sentence."), 249_999])
     assert X.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_unclosed_embedded_elements_and_math():
+    first, last = "A first paragraph that says enough, and then some more.", "The last paragraph, which is also long enough to be kept."
+    for tag in ("noscript", "object", "video", "audio", "canvas", "svg", "select", "select><option>Pick", "math"):
+        assert X.extract_text(f"<article><p>{first}</p><{tag}><p>{last}</p></article>").endswith(last), tag
+    assert X.extract_text(f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {first}</p></article>") == f"So x=2 holds. {first}"
+    assert X.extract_text(f"<article><p>{first}</p><select><option>One<option>Two</select><p>{last}</p></article>") == f"{first} {last}"
