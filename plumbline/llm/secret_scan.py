@@ -2,18 +2,20 @@
 
 The text itself is the first layer. Each layer taken from the worklist is scanned
 for every kind of secret, then unwrapped in each way that applies; what comes out
-are new layers. A layer that was seen before at the same place of the text is not
-taken again, so cycles (a compressed file that unpacks to itself, say) end, and the
-worklist ends when no way of unwrapping gives anything new. Equal layers at several
-places are each taken. Spans found in a layer are mapped back through the layers to
-code points of the text.
+are new layers. Escapes are decoded by kind and all together, each time to their own
+fixpoint in one linear pass (``%252525..3D`` is one layer, not one for each ``25``).
+A layer that was seen before at the same place of the text is not taken again, so
+cycles (a compressed file that unpacks to itself, say) end, and the worklist ends
+when no way of unwrapping gives anything new. Equal layers at several places are
+each taken. Spans found in a layer are mapped back through the layers to code points
+of the text, by a loop at any depth.
 
 Null and empty texts have no spans. Long texts are scanned whole. Repeated rows each
 give a row; equal spans found in several layers count once; extra columns are ignored.
 Compressed data is unpacked to its end, with all members of a stream and what follows
 them. What unpacks to more than ``max_layer`` characters is taken in pieces, cut only at
 line ends that no pattern spans. Base64 that is wrapped in lines is decoded line by line
-and joined.
+and joined, and base64 that is glued to other characters at every alignment.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import arrow_map, picked
@@ -56,7 +59,7 @@ def plain_spans(text: str) -> list[Span]:
 
 
 class Pieces:
-    """Maps offsets of a decoded layer to its parent: runs that were copied, and runs that an escape gave."""
+    """Maps offsets of a decoded layer to its parent: runs that were copied, and characters that an escape gave."""
 
     def __init__(self):
         self.child: list[int] = []
@@ -84,40 +87,38 @@ class Pieces:
         return self.parent[k + 1] if k + 1 < len(self.parent) else self.parent_end
 
 
-Layer = tuple[str, Callable[[int], int], Callable[[int], int]]
+class Layer:
+    """A decoded text that knows its place in the layer it came from."""
 
+    __slots__ = ("end_of", "escapes", "parent", "start_of", "text")
 
-def _replaced(text: str, pattern: re.Pattern, decode: Callable[[str], str]) -> Layer | None:
-    """The whole layer with each escape decoded, or None if it has none."""
-    pieces, out, at = Pieces(), [], 0
-    for m in pattern.finditer(text):
-        new = decode(m.group())
-        if new == m.group():
-            continue
-        pieces.add(m.start() - at, at, m.start(), True)
-        pieces.add(len(new), m.start(), m.end(), False)
-        out += [text[at : m.start()], new]
-        at = m.end()
-    if not out:
-        return None
-    pieces.add(len(text) - at, at, len(text), True)
-    out.append(text[at:])
-    return "".join(out), pieces.start_of, pieces.end_of
+    def __init__(self, text: str, parent: Layer | None = None, start_of=None, end_of=None, escapes: bool = True):
+        self.text, self.parent, self.start_of, self.end_of, self.escapes = text, parent, start_of, end_of, escapes
 
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        """The span in code points of the first layer."""
+        at = self
+        while at.parent is not None:
+            start, end = at.start_of(start), at.end_of(end)
+            at = at.parent
+        return start, end
 
-_URL = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
-_UNICODE = re.compile(r"(?:\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[uU]\+[0-9a-fA-F]{4,6}")
 
-
-def _url(escape: str) -> str:
-    raw = bytes.fromhex(escape.replace("%", ""))
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return escape
+_URL = r"%[0-7][0-9A-Fa-f]|%[CDcd][0-9A-Fa-f]%[89ABab][0-9A-Fa-f]|%[Ee][0-9A-Fa-f](?:%[89ABab][0-9A-Fa-f]){2}|%[Ff][0-4](?:%[89ABab][0-9A-Fa-f]){3}"
+_UNICODE = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[uU]\+[0-9a-fA-F]{4,6}"
+#: Ways of unwrapping escapes: one kind, the other, and both.
+_ESCAPES = [re.compile(x) for x in (_URL, _UNICODE, f"{_URL}|{_UNICODE}")]
+#: An escape has this many characters at most, consists of these, and begins with one of those.
+_LONGEST, _OF, _FIRST = 12, frozenset("%&#\\uUxX+;{}0123456789abcdefABCDEF"), "%&\\uU"
 
 
-def _unicode(escape: str) -> str:
+def _decoded(escape: str) -> str:
+    """The one character of an escape; an escape that stands for none is returned as it is."""
+    if escape[0] == "%":
+        try:
+            return bytes.fromhex(escape.replace("%", "")).decode("utf-8")
+        except UnicodeDecodeError:
+            return escape
     digits = re.findall(r"[0-9a-fA-F]+", escape[2:])
     if len(digits) == 2:
         return bytes.fromhex(digits[0] + digits[1]).decode("utf-16-be")
@@ -125,6 +126,58 @@ def _unicode(escape: str) -> str:
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else escape
 
 
+def _unescaped(parent: Layer, pattern: re.Pattern) -> Layer | None:
+    """The layer with all escapes of a kind decoded, or None if it has none.
+
+    What an escape gives is looked at again together with the characters around it, until
+    nothing is left to decode: ``%252525..3D`` and escapes that alternate between kinds take
+    one pass. Each step takes characters off the text, so work is linear in its length.
+    """
+    text, n = parent.text, len(parent.text)
+    out: list[tuple[int, int, str | None]] = []  # places in the text, and the decoded character (None: copied)
+    at, some = 0, False
+    while (m := pattern.search(text, at)) is not None:
+        new = _decoded(m.group())
+        if new == m.group():
+            out.append((at, m.start() + 1, None))
+            at = m.start() + 1
+            continue
+        some = True
+        if m.start() > at:
+            out.append((at, m.start(), None))
+        begin, at = m.start(), m.end()
+        while new in _OF:
+            before, k = [], len(out)
+            while k and len(before) < _LONGEST - 1:
+                k -= 1
+                a, b, c = out[k]
+                before += c if c is not None else reversed(text[max(a, b - _LONGEST) : b])
+            left = "".join(reversed(before[: _LONGEST - 1]))
+            near = left + new + text[at : at + _LONGEST - 1]
+            hit = None
+            for s in range(len(left) + 1):
+                if near[s] in _FIRST and (x := pattern.match(near, s)) and x.end() > len(left) and _decoded(x.group()) != x.group():
+                    hit = x
+                    break
+            if hit is None:
+                break
+            for _ in range(len(left) - hit.start()):
+                a, b, c = out.pop()
+                begin = a if c is not None else b - 1
+                if c is None and b - 1 > a:
+                    out.append((a, b - 1, None))
+            at += hit.end() - len(left) - 1
+            new = _decoded(hit.group())
+        out.append((begin, at, new))
+    if not some:
+        return None
+    out.append((at, n, None))
+    pieces = Pieces()
+    for a, b, c in out:
+        pieces.add(1 if c is not None else b - a, a, b, c is None)
+    return Layer("".join(text[a:b] if c is None else c for a, b, c in out), parent, pieces.start_of, pieces.end_of, escapes=False)
+
+
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -248,41 +301,73 @@ def _runs(text: str) -> Iterator[tuple[str, Pieces]]:
             a = b
 
 
-def _blobs(text: str, max_layer: int) -> Iterator[Layer]:
-    """Layers inside base64 runs, packed or plain. Spans of packed data map to the whole run."""
-    for run, pieces in _runs(text):
-        body = run.rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            raw = binascii.a2b_base64(body.translate(_STANDARD) + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        start, end = pieces.start_of(0), pieces.end_of(len(run))
-        if _packed(raw):
-            for inner in _unpacked(raw, max_layer):
-                yield inner, lambda _, s=start: s, lambda _, e=end: e
-        if not _PRINTABLE.match(raw):
-            continue
-        try:
-            inner = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        ascii_only = len(inner) == len(raw)
-        bytes_to = (lambda k: k) if ascii_only else (lambda k, t=inner: len(t[:k].encode()))
-        start_of = lambda k, f=bytes_to, p=pieces: p.start_of(min(p.end - 1, f(k) * 4 // 3))
-        yield inner, start_of, (lambda k, f=bytes_to, p=pieces: p.end_of(max(1, min(p.end, -(-f(k) * 4 // 3)))))
+#: Text of 12 characters or more, as the shortest span has; and where packed data may begin.
+_TEXT = re.compile(
+    rb"(?:[\x09\x0a\x0d\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++"
+)
+_HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68]")
+_SHORTEST = 12
+
+
+def _begins_packed(raw: bytes, at: int) -> bool:
+    """Whether packed data begins there, told from its first bytes."""
+    if not _packed(raw[at : at + 3]):
+        return False
+    try:
+        zlib.decompressobj(wbits=47).decompress(raw[at : at + 256], 64)
+    except zlib.error:
+        return False
+    return True
+
+
+def _byte_places(text: str) -> Callable[[int], int]:
+    """Byte offset of each character's start."""
+    if text.isascii():
+        return lambda k: k
+    code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    places = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
+    return lambda k: int(places[k])
+
+
+def _blobs(layer: Layer, max_layer: int) -> Iterator[Layer]:
+    """Layers inside base64 runs, packed or plain. Spans of packed data map to the run from their data's first character.
+
+    What a run is glued to at either end is base64 too, to look at, and shifts what it holds:
+    a run is decoded at each of four alignments, and each stretch of text in it is a layer.
+    """
+    for run, pieces in _runs(layer.text):
+        body = run.rstrip("=").translate(_STANDARD)
+        for shift in range(4):
+            size = len(body) - shift
+            size -= size % 4 == 1
+            if size < 16:
+                break
+            raw = binascii.a2b_base64(body[shift : shift + size] + "=" * (-size % 4))
+            for m in _HEADER.finditer(raw):
+                if _begins_packed(raw, m.start()):
+                    start, end = pieces.start_of(shift + m.start() * 4 // 3), pieces.end_of(len(run))
+                    for inner in _unpacked(raw[m.start() :], max_layer):
+                        yield Layer(inner, layer, lambda _, s=start: s, lambda _, e=end: e)
+            for m in _TEXT.finditer(raw):
+                if m.end() - m.start() < _SHORTEST:
+                    continue
+                inner = m.group().decode("utf-8")
+                byte = _byte_places(inner)
+                first = lambda k, f=byte, p=pieces, z=shift, o=m.start(): p.start_of(min(p.end - 1, z + (o + f(k)) * 4 // 3))
+                last = lambda k, f=byte, p=pieces, z=shift, o=m.start(): p.end_of(max(1, min(p.end, z - (-(o + f(k)) * 4 // 3))))
+                yield Layer(inner, layer, first, last)
 
 
 _STANDARD = str.maketrans("-_", "+/")
 
 
-def _children(layer: str, max_layer: int) -> Iterator[Layer]:
+def _children(layer: Layer, max_layer: int) -> Iterator[Layer]:
     """What one step of each way of unwrapping gives."""
-    if "%" in layer and (child := _replaced(layer, _URL, _url)):
-        yield child
-    if ("\\" in layer or "&#" in layer or "+" in layer) and (child := _replaced(layer, _UNICODE, _unicode)):
-        yield child
+    if layer.escapes:
+        for pattern in _ESCAPES:
+            if child := _unescaped(layer, pattern):
+                yield child
     yield from _blobs(layer, max_layer)
 
 
@@ -290,23 +375,21 @@ def deeper_spans(text: str, max_layer: int = 16 << 20) -> set[Span]:
     """Spans found in layers below the text, in code points of the text."""
     found: set[Span] = set()
     seen = {(_digest(text), 0, len(text))}
-    work = [(_children(text, max_layer), lambda k: k, lambda k: k)]
+    work = [_children(Layer(text), max_layer)]
     while work:
-        children, start_of, end_of = work[-1]
-        child = next(children, None)
-        if child is None:
+        layer = next(work[-1], None)
+        if layer is None:
             work.pop()
             continue
-        inner, s, e = child
-        if not inner:
+        if not layer.text:
             continue
-        to_start = lambda k, s=s, f=start_of: f(s(k))
-        to_end = lambda k, e=e, f=end_of: f(e(k))
-        key = _digest(inner), to_start(0), to_end(len(inner))
+        key = _digest(layer.text), *layer.place(0, len(layer.text))
         if key not in seen:
             seen.add(key)
-            found.update((to_start(a), kind, to_end(b)) for a, kind, b in plain_spans(inner))
-            work.append((_children(inner, max_layer), to_start, to_end))
+            for a, kind, b in plain_spans(layer.text):
+                start, end = layer.place(a, b)
+                found.add((start, kind, end))
+            work.append(_children(layer, max_layer))
     return found
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -107,3 +108,70 @@ def test_wrapped_base64(end):
                 flat = [len(text[:a].replace(end, "")) for a, _, _ in spans]
                 at = raw.index(b"password")
                 assert 6 + at * 4 // 3 in flat
+
+
+def test_deep_nesting():
+    base, every = S.scan_text("%" + "25" * 1500 + " token=abcdefghi")
+    assert (3002, 0, 3017) in every
+    for text in ("%" + "25" * 500_000 + "3Dx", "token" + "&#38;" + "#38;" * 3000 + "#61;abcdefgh", "token\\" + "x5c" * 3000 + "x3dabcdefgh"):
+        every = S.scan_text(text)[1]
+        assert len(text) > 900_000 or (0, 0, len(text)) in every
+    mixed = "="
+    for _ in range(60):
+        mixed = mixed.replace("%", "&#37;") if "%" in mixed else mixed.replace("&", "%26") if "&" in mixed else "%3D"
+    assert (0, 0, len("secret" + mixed + "abcdefg")) in S.scan_text("secret" + mixed + "abcdefg")[1]
+    deep = SECRET
+    for _ in range(25):
+        deep = base64.b64encode(deep.encode()).decode()
+    assert [s for s in S.scan_text(deep)[1] if s[1] == 0]
+
+
+def _one_step(text):
+    """Every layer that one step gives, without places: a plain decoder to compare with."""
+    yield urllib.parse.unquote(text, errors="surrogateescape")
+    yield re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m.group(1), 16)), text)
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text.replace("\n", "")):
+        for k in range(4):
+            body = m.group().rstrip("=")[k:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            yield raw.decode("latin-1")
+            for z in re.finditer(b"\x1f\x8b\x08", raw):
+                try:
+                    yield zlib.decompressobj(wbits=31).decompress(raw[z.start() :]).decode("latin-1")
+                except zlib.error:
+                    pass
+
+
+def _plain(text):
+    """Values of all secrets that any order of unwrapping shows."""
+    seen, work, found = set(), [text], set()
+    while work:
+        at = work.pop()
+        if at not in seen:
+            seen.add(at)
+            found |= set(re.findall(r"password = .(hunter[0-9]+[a-z]+)", at))
+            work += _one_step(at)
+    return found
+
+
+def test_random_nestings_with_glue_and_repeats():
+    rnd = random.Random(3)
+    for _ in range(150):
+        parts, want = [], set()
+        for _ in range(rnd.randint(1, 3)):
+            value = f"hunter{rnd.randint(10, 10**6)}" + "abc"
+            hidden = f'password = "{value}"'
+            for _ in range(rnd.randint(1, 3)):
+                hidden = WRAPS[rnd.choice(list(WRAPS))](hidden)
+            for _ in range(rnd.randint(1, 2)):
+                parts.append((rnd.choice(["", "abc-", "a/", "token_", "x"]) + hidden, len(hidden), value))
+            want.add(value)
+        text = " , ".join(p for p, _, _ in parts)
+        assert want <= _plain(text)
+        spans, at = {s for s in S.scan_text(text)[1] if s[1] == 0}, 0
+        for part, size, _ in parts:  # each copy has a span inside its own place
+            end = at + len(part)
+            assert [s for s in spans if at <= s[0] and s[2] <= end and s[2] > end - size], (text, part)
+            at = end + 3
+        assert not _plain(S.redacted(text)) & want
