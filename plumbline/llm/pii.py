@@ -1,12 +1,15 @@
 """Personal data by fixed patterns and by bootstrapped contexts, with DataFrame functions only.
 
 Base spans are matches of four patterns that pass their checks. They are the seeds of
-the second part: the two words before a seed are a lexical pattern. Other tokens that
-look like identifiers (four digits or more) are candidates, with the patterns before
-them. Patterns and values form a bipartite graph; in each round a pattern's confidence
-is the mean score of its distinct values, and a value's score is 1 for a seed and else
-the best confidence of its patterns. Patterns with enough distinct seeds and enough
-confidence are trusted, and candidates after a trusted pattern become ``context`` spans.
+the second part: the two words before an entity are a lexical pattern. Other tokens
+that look like identifiers (four digits or more, with the groups of digits that follow
+them) are candidates, with the patterns before them. Patterns and distinct values form
+a bipartite graph, which is scored in rounds. A pattern's confidence is the share of its
+values that are known, seeds at first; it is trusted with enough known values and enough
+confidence. A trusted pattern makes all its values known. Values that became known
+support the other patterns they occur with, so a next round may trust these. Rounds end
+when no value is new. Candidates after a trusted pattern are ``context`` spans. Neither contexts nor
+identifiers have a longest length.
 
 Matches and the gaps between them come from one regular expression each, so starts are
 running sums of lengths, in code points, for any number of matches in a text. The
@@ -34,19 +37,24 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?"
-#: Tokens between white space that hold a digit.
-_TOKEN = r"(?<!\S)\S*[0-9]\S*"
+#: Tokens between white space that hold a digit, with the groups of digits after them.
+_TOKEN = r"""(?<!\S)\S*[0-9]\S*+(?:(?<=[0-9])\x20[0-9]++(?:-[0-9]++)*+(?=[.,;:!?)"']*+(?:\s|\z)))*+"""
 
-#: Characters of the gap before a match in which its two words are looked for.
-LEFT = 80
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.8
+#: Known values that a pattern needs, and the least confidence of a trusted one.
+MIN_KNOWN, MIN_CONFIDENCE = 5, 0.8
+#: Parts into which a frequent pattern's rows are dealt in joins.
+SALTS = 16
 
 
 def _matches(text: Column, kind: int, pattern: str, wanted: Column) -> Column:
-    """Matches as (kind, place, gap before, match, end of the gap), only where ``wanted`` holds."""
+    """Matches as (kind, place, gap before, match, last two words of the gap or all of it), only where ``wanted`` holds."""
+
+    def one(gap: Column, m: Column, i: Column) -> Column:
+        two = F.regexp_extract(gap, r"\s\S++\s++\S++\s*+\z", 0)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), m.alias("m"), F.when(two != "", two).otherwise(gap).alias("left"))
 
     def zipped(gaps: Column, found: Column) -> Column:
-        return F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("m"), F.right(F.get(gaps, i), F.lit(LEFT)).alias("left")))
+        return F.transform(found, lambda m, i: let(F.get(gaps, i), lambda gap: one(gap, m, i)))
 
     both = let(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda s: zipped(s["g"], s["m"]))
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,m:string,left:string>>")
@@ -61,7 +69,7 @@ def _wanted(t: Column) -> list[Column]:
         digits & t.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
         digits & t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
         digits & F.contains(t, F.lit("+")),
-        digits & t.rlike(r"[0-9][^0-9\s]*+[0-9][^0-9\s]*+[0-9][^0-9\s]*+[0-9]"),
+        digits & t.rlike(r"[0-9](?:[^0-9\s]*+\x20?[^0-9\s]*+[0-9]){3}"),
     ]
 
 
@@ -74,11 +82,16 @@ def _raw(docs: DataFrame) -> DataFrame:
 
 
 def _placed(raw: DataFrame) -> DataFrame:
-    """(_row, kind, start, end, m, left) of every raw match."""
+    """(_row, kind, start, end, m, pattern) of every raw match.
+
+    A gap of fewer than two words is continued to the left by the two matches before it.
+    """
     flat = raw.select("_row", F.explode("found").alias("x")).select("_row", "x.*")
-    so_far = Window.partitionBy("_row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap").cast("long") + F.length("m")).over(so_far)
-    return flat.withColumn("end", end).select("_row", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "m", "left")
+    line = Window.partitionBy("_row", "kind").orderBy("i")
+    end = F.sum(F.col("gap").cast("long") + F.length("m")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.concat(F.lag("m", 2, "").over(line), F.lag("left", 1, "").over(line), F.lag("m", 1, "").over(line), "left")
+    placed = flat.withColumn("end", end).withColumn("_left", left)
+    return placed.select("_row", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "m", _pattern(F.col("_left")).alias("pattern"))
 
 
 def _passes(kind: Column, m: Column) -> Column:
@@ -94,38 +107,51 @@ def _passes(kind: Column, m: Column) -> Column:
 
 
 def _pattern(left: Column) -> Column:
-    """The last two words of a gap, in lower case and with 0 for digits; null without two words."""
+    """The last two words, in lower case and with 0 for digits; null without two words."""
     plain = F.translate(left, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    two = F.regexp_extract(plain, r"(\S{1,40}\s+\S{1,40})\s*\z", 1)
+    two = F.regexp_extract(plain, r"(?<!\S)(\S++\s++\S++)\s*+\z", 1)
     return F.when(two != "", F.regexp_replace(two, r"\s+", " "))
 
 
 def _candidates(tokens: DataFrame, base: DataFrame) -> DataFrame:
     """Identifier-like tokens, without the punctuation around them, that touch no base span."""
-    lead = F.length(F.regexp_extract("m", r"\A[^A-Za-z0-9+]*", 0))
-    core = F.regexp_extract("m", r"\A[^A-Za-z0-9+]*+(.*?)[^A-Za-z0-9]*\z", 1)
-    trimmed = tokens.select("_row", (F.col("start") + lead).alias("start"), core.alias("m"), "left").withColumn("end", F.col("start") + F.length("m"))
-    wanted = trimmed.where((F.length("m") <= 64) & (F.length(F.regexp_replace("m", "[^0-9]", "")) >= 4))
-    both = wanted.select("_row", "start", "end", "m", "left", F.lit(False).alias("seed")).unionByName(base.select("_row", "start", "end", "m", "left", F.lit(True).alias("seed")))
+    lead = F.length(F.regexp_extract("m", r"\A[^A-Za-z0-9+]*+", 0))
+    core = F.regexp_extract("m", r"\A[^A-Za-z0-9+]*+(.*[A-Za-z0-9])", 1)
+    trimmed = tokens.select("_row", (F.col("start") + lead).alias("start"), core.alias("m"), "pattern").withColumn("end", F.col("start") + F.length("m"))
+    wanted = trimmed.where(F.length(F.regexp_replace("m", "[^0-9]", "")) >= 4)
+    both = wanted.select("_row", "start", "end", "m", "pattern", F.lit(False).alias("seed")).unionByName(base.select("_row", "start", "end", "m", "pattern", F.lit(True).alias("seed")))
     before = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(0, Window.unboundedFollowing)
     near = both.withColumn("_to", F.max(F.when(F.col("seed"), F.col("end"))).over(before)).withColumn("_from", F.min(F.when(F.col("seed"), F.col("start"))).over(after))
     free = ~F.coalesce(F.col("_to") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("_from") < F.col("end"), F.lit(False))
-    return near.where(~F.col("seed") & free).select("_row", "start", "end", "m", _pattern(F.col("left")).alias("pattern"))
+    return near.where(~F.col("seed") & free).select("_row", "start", "end", "m", "pattern")
+
 
+def _by_pattern(rows: DataFrame, part: Column, trusted: DataFrame) -> DataFrame:
+    """Rows of trusted patterns. A pattern's rows are dealt out by ``part``, so a frequent one isn't one task's."""
+    copies = trusted.select("pattern", "confidence", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(part), F.lit(SALTS)).cast("int")).join(copies, ["pattern", "_salt"]).drop("_salt")
 
-def trusted_patterns(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(pattern, confidence) of trusted patterns, from (pattern, m) of seeds and candidates."""
+
+def trusted_patterns(seeds: DataFrame, candidates: DataFrame, min_known: int = MIN_KNOWN, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(pattern, confidence) of trusted patterns, from (pattern, m) of seeds and candidates.
+
+    Each round but the last makes values known, so there are never more rounds than trusted
+    patterns. A pattern with fewer values than ``min_known`` can't become trusted and is left out.
+    """
     pairs = seeds.select("pattern", "m", F.lit(1).alias("seed")).unionByName(candidates.select("pattern", "m", F.lit(0).alias("seed")))
     edges = pairs.where("pattern is not null").groupBy("pattern", "m").agg(F.max("seed").alias("seed"))
-    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("n")).where(F.col("n") >= min_seeds).select("pattern")
-    edges = materialize(edges.join(enough, "pattern"), "patterns")
-    known = edges.groupBy("m").agg(F.max("seed").cast("double").alias("score"))
-    confidence = None
-    for _ in range(rounds):
-        confidence = materialize(edges.join(known, "m").groupBy("pattern").agg(F.avg("score").alias("confidence")), "patterns")
-        known = edges.join(confidence, "pattern").groupBy("m").agg(F.max(F.when(F.col("seed") == 1, 1.0).otherwise(F.col("confidence"))).alias("score"))
-    return confidence.where(F.col("confidence") >= min_confidence)
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_known).select("pattern", F.lit(1.0).alias("confidence"))
+    edges = materialize(_by_pattern(edges, F.col("m"), enough).select("pattern", "m", "seed"), "patterns")
+    known = materialize(edges.where("seed = 1").select("m").distinct(), "known")
+    while True:
+        scored = edges.join(known.withColumn("known", F.lit(1)), "m", "left").groupBy("pattern").agg(F.count("known").alias("n"), (F.count("known") / F.count("*")).alias("confidence"))
+        trusted = materialize(scored.where((F.col("n") >= min_known) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence"), "trusted")
+        found = _by_pattern(edges.select("pattern", "m"), F.col("m"), trusted).select("m").distinct()
+        new = materialize(found.join(known, "m", "left_anti"), "known")
+        if new.isEmpty():
+            return trusted
+        known = known.unionByName(new)
 
 
 def spans_of(raw: DataFrame, **limits: float) -> DataFrame:
@@ -133,9 +159,8 @@ def spans_of(raw: DataFrame, **limits: float) -> DataFrame:
     placed = materialize(_placed(raw), "pii")
     base = placed.where((F.col("kind") < TOKEN) & _passes(F.col("kind"), F.col("m")))
     candidates = materialize(_candidates(placed.where(F.col("kind") == TOKEN), base), "pii")
-    seeds = base.select(_pattern(F.col("left")).alias("pattern"), "m")
-    trusted = trusted_patterns(seeds, candidates, **limits)
-    found = candidates.join(trusted, "pattern").select("_row", F.lit(TOKEN).alias("kind"), "start", "end", "m")
+    trusted = trusted_patterns(base.select("pattern", "m"), candidates, **limits)
+    found = _by_pattern(candidates, F.col("_row"), trusted).select("_row", F.lit(TOKEN).alias("kind"), "start", "end", "m")
     return base.select("_row", "kind", "start", "end", "m").unionByName(found)
 
 
