@@ -4,16 +4,15 @@ Windows are never shuffled one by one. A window's anchor is the ``GRAM``-byte st
 in it whose hash is least (the leftmost of equals), so equal windows have equal
 anchors at equal offsets. Windows next to each other with one anchor form a cell.
 
-1. ``_cells``: each map task turns texts into cells: the anchor's hash, a hash of all
-   bytes of the cell, and where it lies. Of equal cells only the first goes on, the
-   others are already known to repeat it. An anchor with many cells in one task is
-   called hot there; its cells don't go to its bucket, one mark does.
-2. ``_match_cells``, by anchor: equal cells repeat the first one. Anchors with
-   several different cells lie at the edge of a repeat, and only those cells are
-   looked at window by window.
-3. ``_edge_text`` joins those cells with the texts again and sends each cell's bytes
-   to its anchor's bucket. Windows of hot anchors go by their own 128-bit hash
-   instead, which spreads them evenly, again after a local pass.
+1. ``_cells``: each map task turns texts into cells: the anchor's hash, a short hash of
+   the cell, and where it lies. Of cells with equal bytes (compared, not just hashed)
+   only the first goes on, the others are already known to repeat it. An anchor with
+   many different cells in one task is called hot there; its cells don't go to its
+   bucket, one mark does.
+2. ``_match_cells``, by anchor: cells of an anchor that no other cell has are done.
+3. ``_edge_text`` joins the other cells with the texts again and sends their bytes to
+   their anchor's bucket, again one of equal ones. Cells of hot anchors are cut into
+   single windows, whose anchor is the whole window, which spreads them evenly.
 4. ``_match_edges``: hash-compared suffix sort. The bytes right of an anchor, and the
    reversed bytes left of it, are sorted by a mergesort whose comparison finds the
    common extension by binary search over prefix polynomial hashes. Extensions of
@@ -22,10 +21,11 @@ anchors at equal offsets. Windows next to each other with one anchor form a cell
    agree on j bytes to the left and WINDOW - j to the right.
 5. ``_cut`` removes the bytes from the texts.
 
-Order is by doc_id, then start, as integers. A null text has no bytes. Rows that
-repeat a doc_id count as one document (give rows with different texts different ids).
-Rows with a null doc_id are neither compared nor cut. Extra columns are ignored.
-Memory: one bucket's records, or one document and its hashes.
+So hashes only bring windows together; what is removed was compared byte by byte.
+Order is by doc_id, then start, as integers; a null doc_id comes after all others. A
+null text has no bytes. Rows that repeat a doc_id are one document by that order: equal
+strings at equal starts of its rows don't cut each other. Extra columns are ignored.
+Memory: one bucket's records, or one group of documents and its cells.
 """
 
 from __future__ import annotations
@@ -41,16 +41,20 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import materialize, picked, release_memory
 
 WINDOW, GRAM = 100, 32
+#: Bytes of the longest cell.
+SPAN = 2 * WINDOW - GRAM
 #: Text bytes for each bucket and for each group of documents, and for one pass in a map task.
 BUCKET_BYTES, PASS_BYTES, PIECE = 16 << 20, 8 << 20, 1 << 19
-#: Cells of one anchor from which it counts as hot, in a map task and in a bucket.
+#: Finer buckets of step 4 in one bucket, and most shuffle partitions (beyond, a partition has several buckets).
+FINE, MOST_PARTITIONS = 8, 50_000
+#: Different cells of one anchor from which it counts as hot, in a map task and in a bucket.
 HOT_LOCAL, HOT = 64, 4000
 
-OPEN, MARK, FLAG, EDGE, HOT_EDGE = range(5)
+OPEN, MARK, EDGE, HOT_EDGE = range(4)
+LAST = 2**63 - 1
 _U = np.uint64
-CELL = np.dtype([("anchor", "<u8"), ("cell", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("off", "u1"), ("count", "u1"), ("tag", "u1")])
-CUT = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
-SOLO = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("start", "<i4")])
+CELL = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("who", "<u8"), ("cell", "<u4"), ("start", "<i4"), ("off", "u1"), ("count", "u1"), ("tag", "u1")])
+CUT = np.dtype([("who", "<u8"), ("start", "<i4"), ("size", "<i4")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -65,6 +69,7 @@ class Poly:
     """Prefix polynomial hashes modulo 2**64 over random values of the bytes."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.default_rng(seed)
         self.value = rng.integers(0, 2**64, 256, dtype=_U)
         self.base = int(rng.integers(0, 2**62)) * 8 + 5
@@ -107,81 +112,127 @@ def anchors(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & low).astype(np.int64), grams
 
 
-def cells_of(texts: list[bytes], docs: list[int], shifts: list[int]) -> np.ndarray:
-    """Cells of texts (or pieces of texts, which begin at ``shifts``) that fit into one array."""
+def cells_of(texts: list[bytes], docs: list[int], whose: list[int], shifts: list[int], mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts (or pieces of texts, which begin at ``shifts``) one after the other, their cells, and where these begin."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    nothing = np.empty(0, dtype=CELL), np.empty(0, dtype=np.int64)
     if len(data) < WINDOW:
-        return np.empty(0, dtype=CELL)
+        return data, *nothing
     prefix = _ONE.prefix(data)
     at, grams = anchors(prefix)
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes
-    whose = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
-    start = np.flatnonzero(np.arange(len(at)) + WINDOW <= (begins + sizes)[whose])
+    row = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
+    start = np.flatnonzero(np.arange(len(at)) + WINDOW <= (begins + sizes)[row])
     if not len(start):
-        return np.empty(0, dtype=CELL)
+        return data, *nothing
     first = np.flatnonzero(np.r_[True, (at[start[1:]] != at[start[:-1]]) | (start[1:] != start[:-1] + 1)])
     count = np.diff(np.r_[first, len(start)])
     start = start[first]
     out = np.empty(len(start), dtype=CELL)
     where = at[start]
-    out["anchor"] = grams[where]
+    out["anchor"] = grams[where] & _U(mask)
     out["off"], out["count"], out["tag"] = where - start, count, OPEN
-    out["cell"] = mixed(mixed(_ONE.spans(prefix, start, start + count - 1 + WINDOW)) + out["off"].astype(_U) * _U(256) + count.astype(_U))
-    k = whose[start]
+    out["cell"] = mixed(mixed(_ONE.spans(prefix, start, start + count - 1 + WINDOW)) + out["off"].astype(_U) * _U(256) + count.astype(_U)) & _U(mask & 0xFFFFFFFF)
+    k = row[start]
     out["doc"] = np.array(docs, dtype=np.int64)[k]
+    out["who"] = np.array(whose, dtype=np.int64).view(_U)[k]
     out["start"] = start - begins[k] + np.array(shifts, dtype=np.int64)[k]
+    return data, out, start
+
+
+def padded(chunks: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([*chunks, np.zeros(SPAN, dtype=np.uint8)])
+
+
+def _sizes(cells: np.ndarray) -> np.ndarray:
+    return cells["count"].astype(np.int64) - 1 + WINDOW
+
+
+def equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at x and y are the same; ``data`` is padded."""
+    view = np.lib.stride_tricks.sliding_window_view(data, SPAN)
+    out = np.empty(len(x), dtype=bool)
+    for a in range(0, len(x), 10_000):
+        b = a + 10_000
+        differ = view[x[a:b]] != view[y[a:b]]
+        out[a:b] = ~(differ & (np.arange(SPAN) < size[a:b, None])).any(axis=1)
     return out
 
 
-def settle(cells: np.ndarray, marked: np.ndarray, local: bool, hot_from: int) -> np.ndarray:
-    """Equal cells become flags; in a bucket, cells of anchors that have several become edges."""
+def _in_order(cells: np.ndarray) -> np.ndarray:
+    return np.lexsort((cells["who"], cells["start"], cells["doc"], cells["cell"], cells["anchor"]))
+
+
+def _changes(cells: np.ndarray, *fields: str) -> np.ndarray:
+    """Whether a cell differs from the one before it in any of the fields."""
+    out = np.ones(len(cells), dtype=bool)
+    if len(cells):
+        out[1:] = False
+    for f in fields:
+        out[1:] |= cells[f][1:] != cells[f][:-1]
+    return out
+
+
+def collapse(cells: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells in order, where their bytes begin, and whether they repeat an earlier one; ``data`` is padded.
+
+    Cells whose hashes agree are compared byte by byte; one that differs from the first
+    gets another hash, so that equal hashes mean equal bytes in what is returned.
+    """
+    while True:
+        order = _in_order(cells)
+        cells, begin = cells[order], begin[order]
+        fresh = _changes(cells, "anchor", "cell", "doc", "start", "who")  # a row given twice counts once
+        cells, begin = cells[fresh], begin[fresh]
+        head = np.flatnonzero(_changes(cells, "anchor", "cell"))
+        first = np.repeat(head, np.diff(np.r_[head, len(cells)]))
+        differ = (cells["off"] != cells["off"][first]) | (cells["count"] != cells["count"][first])
+        ask = np.flatnonzero(~differ & (first != np.arange(len(cells))))
+        differ[ask] = ~equal_bytes(data, begin[ask], begin[first[ask]], _sizes(cells)[ask])
+        if not differ.any():
+            return cells, begin, (cells["doc"] != cells["doc"][first]) | (cells["start"] != cells["start"][first])
+        cells["cell"][differ] = (cells["cell"][differ].astype(_U) * _U(0x9E3779B1) + _U(0x7F4A7C15)) & _U(0xFFFFFFFF)
+
+
+def settle(cells: np.ndarray, hot_from: int) -> np.ndarray:
+    """Different cells of one map task, in order: those of hot anchors are tagged, with a mark for each such anchor."""
+    if not len(cells):
+        return cells
+    head = _changes(cells, "anchor")
+    group = np.cumsum(head) - 1
+    hot = np.bincount(group, weights=_changes(cells, "anchor", "cell")) > hot_from
+    cells["tag"][hot[group]] = HOT_EDGE
+    marks = cells[np.flatnonzero(head)[hot]]
+    marks["tag"] = MARK
+    return np.concatenate([cells, marks])
+
+
+def with_company(cells: np.ndarray, hot_from: int) -> np.ndarray:
+    """Cells of one bucket whose anchor has others too."""
+    marked = cells["anchor"][cells["tag"] == MARK]
+    cells = cells[cells["tag"] == OPEN]
     if not len(cells):
         return cells
-    cells = cells[np.lexsort((cells["start"], cells["doc"], cells["cell"], cells["anchor"]))]
-    same_anchor = np.r_[False, cells["anchor"][1:] == cells["anchor"][:-1]]
-    same_place = np.r_[False, (cells["doc"][1:] == cells["doc"][:-1]) & (cells["start"][1:] == cells["start"][:-1])]
-    same = same_anchor & np.r_[False, cells["cell"][1:] == cells["cell"][:-1]]
-    cells, same, same_anchor = (x[~(same & same_place)] for x in (cells, same, same_anchor))  # a row given twice
-    cells["tag"][same] = FLAG
-    group = np.cumsum(~same_anchor) - 1
-    kinds = np.bincount(group[~same], minlength=group[-1] + 1)
-    if local:
-        hot = kinds > hot_from
-        cells["tag"][~same & hot[group]] = HOT_EDGE
-        marks = cells[np.flatnonzero(~same_anchor)[hot]]
-        marks["tag"] = MARK
-        return np.concatenate([cells, marks])
-    names = cells["anchor"][~same_anchor]
-    hot = (kinds > hot_from) | np.isin(names, marked)
-    cells["tag"][~same & (kinds > 1)[group]] = EDGE
-    cells["tag"][~same & hot[group]] = HOT_EDGE
-    return cells
-
-
-def spark_hash(longs: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64`` of a long column."""
-    p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-    turn = lambda x, r: (x << _U(r)) | (x >> _U(64 - r))
-    with np.errstate(over="ignore"):
-        h = p5 + _U(42 + 8)
-        h = h ^ (turn(longs.view(_U) * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> _U(33))) * p2
-        h = (h ^ (h >> _U(29))) * p3
-        return (h ^ (h >> _U(32))).view(np.int64)
-
-
-def _batches(names: list[str], keys, records: np.ndarray, extra: dict[str, int] | None = None) -> Iterator[pa.RecordBatch]:
-    """One row for each key: the key, constant columns, and the key's records as bytes."""
+    cells = cells[_in_order(cells)]
+    cells = cells[_changes(cells, "anchor", "cell", "doc", "start", "who")]
+    head = _changes(cells, "anchor")
+    group = np.cumsum(head) - 1
+    hot = (np.bincount(group, weights=_changes(cells, "anchor", "cell")) > hot_from) | np.isin(cells["anchor"][head], marked)
+    many = np.bincount(group) > 1
+    cells["tag"] = np.where(hot[group], HOT_EDGE, EDGE)
+    return cells[(hot | many)[group]]
+
+
+def _batches(names: list[str], keys, records: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """One row for each key: the key, the kind, and the key's records as bytes."""
     if not len(records):
         return
     order = np.argsort(keys, kind="stable")
     keys, records = keys[order], records[order]
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     blobs = [records[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(records)])]
-    rest = [pa.array([v] * len(blobs), pa.int32()) for v in (extra or {}).values()]
-    yield pa.RecordBatch.from_arrays([pa.array(keys[cuts].astype(np.int32)), *rest, pa.array(blobs, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[cuts].astype(np.int32)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -202,47 +253,69 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield last, pa.Table.from_batches(held)
 
 
-def _records(table: pa.Table, dtype: np.dtype, kind: int | None = None) -> np.ndarray:
-    blobs = table.column("blob").to_pylist()
-    if kind is not None:
-        blobs = [b for b, k in zip(blobs, table.column("kind").to_pylist()) if k == kind]
+def _records(table: pa.Table, dtype: np.dtype, kind: int) -> np.ndarray:
+    blobs = [b.as_py() for b, k in zip(table.column("blob"), table.column("kind").to_pylist()) if k == kind]
     return np.frombuffer(b"".join(blobs), dtype=dtype).copy()
 
 
-def _cells(docs: DataFrame, buckets: int, hot_local: int) -> DataFrame:
+def _home(records: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a record's document belongs to."""
+    return np.mod(records["who"].copy().view(np.int64), groups)
+
+
+def _cuts(cells: np.ndarray) -> np.ndarray:
+    out = np.empty(len(cells), dtype=CUT)
+    out["who"], out["start"], out["size"] = cells["who"], cells["start"], _sizes(cells)
+    return merged(out)
+
+
+KEYED = "bucket int, kind int, blob binary"
+_NAMES = ["bucket", "kind", "blob"]
+#: Kinds of rows: cuts by document, cells by anchor, cells by document, cells with their bytes by anchor.
+CUTS, BY_ANCHOR, BY_DOC, WITH_BYTES = range(4)
+
+
+def _cells(texts: DataFrame, groups: int, hot_local: int, mask: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory(caches=True)
-        found: list[np.ndarray] = []
-        texts, ids, shifts, size, passed = [], [], [], 0, 0
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held, ids, whose, shifts, size, passed = [], [], [], [], 0, 0
 
         def flush():
             nonlocal size
-            if texts:
-                found.append(cells_of(texts, ids, shifts))
-            for x in (texts, ids, shifts):
+            if held:
+                found.append(cells_of(held, ids, whose, shifts, mask))
+            for x in (held, ids, whose, shifts):
                 x.clear()
             size = 0
 
         def emit():
             flush()
             if found:
-                cells = settle(np.concatenate(found), np.empty(0, dtype=_U), True, hot_local)
+                at = np.cumsum([0, *(len(f[0]) for f in found)])
+                cells, _, again = collapse(np.concatenate([f[1] for f in found]), padded([f[0] for f in found]), np.concatenate([f[2] + k for f, k in zip(found, at)]))
                 found.clear()
-                yield from _batches(["bucket", "blob"], (cells["anchor"] % _U(buckets)).astype(np.int64), cells)
+                cuts = _cuts(cells[again])
+                yield from _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
+                cells = settle(cells[~again], hot_local)
+                hot = cells["tag"] == HOT_EDGE
+                yield from _batches(_NAMES, _home(cells[hot], groups), cells[hot], BY_DOC)
+                yield from _batches(_NAMES, (cells["anchor"][~hot] % _U(groups)).astype(np.int64), cells[~hot], BY_ANCHOR)
 
         for batch in batches:
-            docs_in = batch.column(batch.schema.get_field_index("doc_id"))
+            docs, who = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "who"))
             column = batch.column(batch.schema.get_field_index("text"))
             for r in range(batch.num_rows):
-                if not docs_in[r].is_valid or not column[r].is_valid:
+                if not column[r].is_valid:
                     continue
-                text, doc = column[r].as_buffer().to_pybytes(), docs_in[r].as_py()
+                text = column[r].as_buffer().to_pybytes()
                 for at in range(0, max(1, len(text) - WINDOW + 1), PIECE):
                     piece = text[at : at + PIECE + WINDOW - 1] if len(text) > PIECE else text
                     if size + len(piece) > PIECE:
                         flush()
-                    texts.append(piece)
-                    ids.append(doc)
+                    held.append(piece)
+                    ids.append(docs[r])
+                    whose.append(who[r])
                     shifts.append(at)
                     size += len(piece)
                     passed += len(piece)
@@ -252,96 +325,82 @@ def _cells(docs: DataFrame, buckets: int, hot_local: int) -> DataFrame:
         yield from emit()
         release_memory()
 
-    return docs.mapInArrow(run, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-
-
-def _cuts(cells: np.ndarray) -> np.ndarray:
-    out = np.empty(len(cells), dtype=CUT)
-    out["doc"], out["start"], out["size"] = cells["doc"], cells["start"], cells["count"].astype(np.int32) - 1 + WINDOW
-    return out
-
-
-def _dest(docs: np.ndarray, groups: int) -> np.ndarray:
-    return np.mod(spark_hash(docs), groups)
+    rows = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "who", "text").mapInArrow(run, KEYED)
+    return rows.repartition(min(groups, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
 
 
 def _match_cells(cells: DataFrame, groups: int, hot: int) -> DataFrame:
-    """(dest, kind, blob): kind 0 has cuts, kind 1 cells at edges."""
+    """Rows by documents: cuts, and cells whose bytes are to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _by_key(batches, "bucket"):
-            every = _records(t, CELL)
-            is_open = every["tag"] == OPEN
-            done = settle(every[is_open], every["anchor"][every["tag"] == MARK], False, hot)
-            rest = every[~is_open & (every["tag"] != MARK)]
-            every = np.concatenate([done, rest])
-            flags, edges = every[every["tag"] == FLAG], every[(every["tag"] == EDGE) | (every["tag"] == HOT_EDGE)]
-            yield from _batches(["dest", "kind", "blob"], _dest(flags["doc"].copy(), groups), _cuts(flags), {"kind": 0})
-            yield from _batches(["dest", "kind", "blob"], _dest(edges["doc"].copy(), groups), edges, {"kind": 1})
-            del every, flags, edges, done, rest
+        for bucket, t in _by_key(batches, "bucket"):
+            for kind, dtype in ((CUTS, CUT), (BY_DOC, CELL)):
+                done = _records(t, dtype, kind)
+                yield from _batches(_NAMES, np.full(len(done), bucket), done, kind)
+            left = with_company(_records(t, CELL, BY_ANCHOR), hot)
+            yield from _batches(_NAMES, _home(left, groups), left, BY_DOC)
+            del done, left
             release_memory()
 
-    return cells.mapInArrow(run, "dest int, kind int, blob binary")
+    return cells.mapInArrow(run, KEYED)
 
 
-def _text_rows(table: pa.Table) -> Iterator[tuple[int | None, bytes | None]]:
-    ids, texts = table.column("doc_id"), table.column("text")
-    for r in range(table.num_rows):
-        yield ids[r].as_py(), (texts[r].as_buffer().to_pybytes() if texts[r].is_valid else None)
+def _single_windows(cells: np.ndarray, data: np.ndarray, shift: int, mask: int) -> np.ndarray:
+    """Cells of one window each, for all windows of one document's ``cells``; their anchor is the whole window."""
+    count = cells["count"].astype(np.int64)
+    start = np.unique(np.repeat(cells["start"] - np.cumsum(count) + count, count) + np.arange(count.sum()))
+    low, high = int(start[0]), int(start[-1]) + WINDOW
+    part = data[shift + low : shift + high]
+    out = np.empty(len(start), dtype=CELL)
+    out["anchor"] = mixed(_ONE.spans(_ONE.prefix(part), start - low, start - low + WINDOW)) & _U(mask)
+    out["cell"] = mixed(_TWO.spans(_TWO.prefix(part), start - low, start - low + WINDOW)) & _U(mask & 0xFFFFFFFF)
+    out["doc"], out["who"], out["start"], out["off"], out["count"], out["tag"] = cells["doc"][0], cells["who"][0], start, 0, 1, EDGE
+    return out
 
 
-def _edge_text(texts: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, kind, blob): kind 0 has cells and their bytes, kind 1 single windows of hot anchors, kind 2 cuts known already."""
+def _edge_text(texts: DataFrame, found: DataFrame, groups: int, mask: int) -> DataFrame:
+    """Cells and their bytes by anchor, and cuts known already by document."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        edges = _records(right, CELL, 1)
-        edges = edges[np.lexsort((edges["start"], edges["doc"]))]
-        rows: list[pa.RecordBatch] = []
-        names = ["bucket", "kind", "blob"]
-        cold, cold_bytes, solo, seen = [], [], [], set()
-        for doc, text in _text_rows(left) if len(edges) else ():
-            a, b = np.searchsorted(edges["doc"], [doc, doc], side="left")[0], np.searchsorted(edges["doc"], doc, side="right")
-            if text is None or a == b or doc in seen:
+        edges = _records(right, CELL, BY_DOC)
+        edges = edges[np.argsort(edges["who"], kind="stable")]
+        heads = np.flatnonzero(_changes(edges, "who"))
+        mine = {int(edges["who"][a]): (a, b) for a, b in zip(heads, [*heads[1:], len(edges)])}
+        chunks, cells, begins, size = [], [], [], 0
+        who, column = left.column("who").to_pylist(), left.column("text")
+        for r in range(left.num_rows) if mine else ():
+            a, b = mine.pop(who[r] % 2**64, (0, 0))  # rows with equal doc_id and text are one
+            if a == b:
                 continue
-            seen.add(doc)
-            mine = edges[a:b]
-            for e in mine[mine["tag"] == EDGE]:
-                cold.append(e)
-                cold_bytes.append(text[e["start"] : e["start"] + int(e["count"]) - 1 + WINDOW])
-            hot = mine[mine["tag"] == HOT_EDGE]
-            if len(hot):
-                data = np.frombuffer(text, dtype=np.uint8)
-                start = np.unique(np.concatenate([np.arange(e["start"], e["start"] + int(e["count"])) for e in hot]))
-                rec = np.empty(len(start), dtype=SOLO)
-                p, q = _ONE.prefix(data), _TWO.prefix(data)
-                rec["h"], rec["g"], rec["doc"], rec["start"] = mixed(_ONE.spans(p, start, start + WINDOW)), mixed(_TWO.spans(q, start, start + WINDOW)), doc, start
-                solo.append(rec)
-        if cold:
-            keys = np.array([int(e["anchor"]) % buckets for e in cold])
-            for k in np.unique(keys):
-                which = np.flatnonzero(keys == k)
-                blob = len(which).to_bytes(4, "little") + np.array([cold[i] for i in which], dtype=CELL).tobytes() + b"".join(cold_bytes[i] for i in which)
-                rows.append(pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names))
-        if solo:
-            first, cuts = first_and_rest(np.concatenate(solo))
-            rows += _batches(names, (first["h"] % _U(buckets)).astype(np.int64), first, {"kind": 1})
-            cuts = merged(cuts)
-            rows += _batches(names, np.mod(spark_hash(cuts["doc"].copy()), buckets), cuts, {"kind": 2})
-        empty = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+            data = np.frombuffer(column[r].as_buffer(), dtype=np.uint8)
+            own = edges[a:b]
+            hot = own["tag"] == HOT_EDGE
+            for part in (own[~hot], _single_windows(own[hot], data, 0, mask) if hot.any() else own[:0]):
+                cells.append(part)
+                begins.append(part["start"].astype(np.int64) + size)
+            chunks.append(data)
+            size += len(data)
+        rows: list[pa.RecordBatch] = []
+        if cells:
+            data = padded(chunks)
+            every, begin, again = collapse(np.concatenate(cells), data, np.concatenate(begins))
+            cuts = _cuts(every[again])
+            rows += _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
+            every, begin = every[~again], begin[~again]
+            keys = (every["anchor"] % _U(groups * FINE)).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, every, begin = keys[order], every[order], begin[order]
+            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            view = np.lib.stride_tricks.sliding_window_view(data, SPAN)
+            blobs = []
+            for a, b in zip(heads, [*heads[1:], len(keys)]):
+                inside = np.arange(SPAN) < _sizes(every[a:b])[:, None]
+                blobs.append(int(b - a).to_bytes(4, "little") + every[a:b].tobytes() + view[begin[a:b]][inside].tobytes())
+            rows.append(pa.RecordBatch.from_arrays([pa.array(keys[heads].astype(np.int32)), pa.array([WITH_BYTES] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], _NAMES))
         release_memory()
-        return pa.Table.from_batches(rows) if rows else empty.empty_table()
-
-    return texts.groupBy("dest").cogroup(found.where("kind = 1").groupBy("dest")).applyInArrow(join, "bucket int, kind int, blob binary")
+        return pa.Table.from_batches(rows) if rows else pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]).empty_table()
 
-
-def first_and_rest(solo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first window of each kind by place, and cuts for the others."""
-    solo = solo[np.lexsort((solo["start"], solo["doc"], solo["g"], solo["h"]))]
-    same = np.r_[False, (solo["h"][1:] == solo["h"][:-1]) & (solo["g"][1:] == solo["g"][:-1])]
-    again = solo[same]
-    cuts = np.empty(len(again), dtype=CUT)
-    cuts["doc"], cuts["start"], cuts["size"] = again["doc"], again["start"], WINDOW
-    return solo[~same], cuts
+    return texts.groupBy("dest").cogroup(found.where(F.col("kind") == BY_DOC).groupBy("bucket")).applyInArrow(join, KEYED)
 
 
 class Suffixes:
@@ -439,12 +498,12 @@ def classes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.
 
 
 def edge_repeats(cells: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Cuts for windows of edge cells that repeat an earlier one; ``data`` has the cells' bytes one after the other."""
-    size = cells["count"].astype(np.int64) - 1 + WINDOW
+    """Cuts for windows of cells that repeat an earlier one; ``data`` has the cells' bytes one after the other."""
+    size = _sizes(cells)
     begin = np.cumsum(size) - size
     order = np.lexsort((cells["start"], cells["doc"], cells["anchor"]))
     cells, size, begin = cells[order], size[order], begin[order]
-    group = np.cumsum(np.r_[0, cells["anchor"][1:] != cells["anchor"][:-1]])
+    group = np.cumsum(_changes(cells, "anchor")) - 1
     anchor = begin + cells["off"]
     right, right_near = classes_of(data, anchor, begin + size - anchor, group)
     left, left_near = classes_of(data[::-1], len(data) - anchor, anchor - begin, group)
@@ -459,47 +518,45 @@ def edge_repeats(cells: np.ndarray, data: np.ndarray) -> np.ndarray:
         r_class[right] = np.cumsum(right_near < WINDOW - j)
         l_class[left] = np.cumsum(left_near < j)
         key = r_class[has] * (len(cells) + 1) + l_class[has]
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)  # rows are in order of place, so the first is the earliest
-        again = has[first[back] != np.arange(len(has))]
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        doc, start = cells["doc"][has], cells["start"][has].astype(np.int64) + top[has] - j
+        place = np.lexsort((start, doc))  # cells are in order of their own starts, windows need not be
+        rank = np.empty(len(has), dtype=np.int64)
+        rank[place] = np.cumsum(np.r_[True, (doc[place][1:] != doc[place][:-1]) | (start[place][1:] != start[place][:-1])])
+        least = np.full(len(first), len(has) + 1)
+        np.minimum.at(least, back, rank)
+        again = has[rank > least[back]]
         cut = np.empty(len(again), dtype=CUT)
-        cut["doc"], cut["start"], cut["size"] = cells["doc"][again], cells["start"][again] + top[again] - j, WINDOW
+        cut["who"], cut["start"], cut["size"] = cells["who"][again], cells["start"][again] + top[again] - j, WINDOW
         out.append(cut)
-    return np.concatenate(out) if out else np.empty(0, dtype=CUT)
+    return merged(np.concatenate(out)) if out else np.empty(0, dtype=CUT)
 
 
-def _match_edges(edge_text: DataFrame, buckets: int, groups: int) -> DataFrame:
+def _match_edges(edge_text: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _by_key(batches, "bucket"):
-            cells, data, solo, known = [], [], [], []
-            for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist()):
-                if kind == 1:
-                    solo.append(np.frombuffer(blob, dtype=SOLO))
-                elif kind == 2:
-                    known.append(np.frombuffer(blob, dtype=CUT))
-                else:
-                    n = int.from_bytes(blob[:4], "little")
-                    cells.append(np.frombuffer(blob, dtype=CELL, count=n, offset=4))
-                    data.append(blob[4 + n * CELL.itemsize :])
-            if cells:
-                known.append(edge_repeats(np.concatenate(cells), np.frombuffer(b"".join(data), dtype=np.uint8)))
-            if solo:
-                known.append(first_and_rest(np.concatenate(solo))[1])
-            cuts = merged(np.concatenate(known)) if known else np.empty(0, dtype=CUT)
-            yield from _batches(["dest", "kind", "blob"], _dest(cuts["doc"].copy(), groups), cuts, {"kind": 0})
-            del cells, data, solo, known, cuts
+            cells, data = [], []
+            for blob in t.column("blob"):
+                blob = blob.as_buffer()
+                n = int.from_bytes(blob[:4].to_pybytes(), "little")
+                cells.append(np.frombuffer(blob, dtype=CELL, count=n, offset=4))
+                data.append(np.frombuffer(blob, dtype=np.uint8, offset=4 + n * CELL.itemsize))
+            cuts = edge_repeats(np.concatenate(cells), np.concatenate(data))
+            yield from _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
+            del cells, data, cuts
             release_memory()
 
-    rows = edge_text.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "dest int, kind int, blob binary")
+    rows = edge_text.where(F.col("kind") == WITH_BYTES).repartition(min(groups, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, KEYED)
 
 
 def merged(cuts: np.ndarray) -> np.ndarray:
     """Cuts of a document that overlap or touch become one."""
     if not len(cuts):
         return cuts
-    cuts = cuts[np.lexsort((cuts["start"], cuts["doc"]))]
+    cuts = cuts[np.lexsort((cuts["start"], cuts["who"]))]
     end = cuts["start"].astype(np.int64) + cuts["size"]
-    rank = np.cumsum(np.r_[0, cuts["doc"][1:] != cuts["doc"][:-1]])  # documents far apart on one line, so that one running maximum does
+    rank = np.cumsum(_changes(cuts, "who"))  # documents far apart on one line, so that one running maximum does
     far = rank * (1 << 33)
     reach = np.maximum.accumulate(end + far)
     first = np.flatnonzero(np.r_[True, (cuts["start"][1:] + far[1:]) > reach[:-1]])
@@ -519,34 +576,41 @@ def remaining(text: bytes, cuts: np.ndarray) -> bytes:
 
 def _cut(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        every = merged(_records(right, CUT)) if right.num_rows else np.empty(0, dtype=CUT)
-        out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for doc, text in _text_rows(left):
-            mine = every[:0] if doc is None else every[np.searchsorted(every["doc"], doc) : np.searchsorted(every["doc"], doc, side="right")]
-            text = text or b""
-            out["doc_id"].append(doc)
+        every = merged(_records(right, CUT, CUTS))
+        heads = np.flatnonzero(_changes(every, "who"))
+        mine = {int(every["who"][a]): every[a:b] for a, b in zip(heads, [*heads[1:], len(every)])}
+        out = {"doc_id": left.column("doc_id").to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+        column = left.column("text")
+        for r, who in enumerate(left.column("who").to_pylist()):
+            own = mine.get(who % 2**64, every[:0])
+            text = column[r].as_buffer().to_pybytes() if column[r].is_valid else b""
             out["n_bytes"].append(len(text))
-            out["n_removed"].append(int(mine["size"].sum()))
-            out["n_spans"].append(len(mine))
-            out["kept"].append(remaining(text, mine))
+            out["n_removed"].append(int(own["size"].sum()))
+            out["n_spans"].append(len(own))
+            out["kept"].append(remaining(text, own))
         types = [pa.int64()] * 4 + [pa.binary()]
         release_memory()
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
-    return texts.groupBy("dest").cogroup(cuts.groupBy("dest")).applyInArrow(join, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.groupBy("dest").cogroup(cuts.groupBy("bucket")).applyInArrow(join, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
 
+def dedup_substrings(docs: DataFrame, hot_local: int = HOT_LOCAL, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document row.
 
-def dedup_substrings(docs: DataFrame, hot_local: int = HOT_LOCAL, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document row."""
+    ``hash_bits`` weakens the hashes that bring windows together; the result is the same.
+    """
     docs = picked(docs, "doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets = groups = max(24, -(-total // BUCKET_BYTES))
-    found = materialize(_match_cells(_cells(docs, buckets, hot_local), groups, hot), "cells")
-    texts = docs.withColumn("dest", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(groups)), F.lit(0)).cast("int"))
-    edges = _match_edges(_edge_text(texts, found, buckets), buckets, groups)
-    return _cut(texts, found.where("kind = 0").select("dest", "blob").unionByName(edges.select("dest", "blob")))
-
-
-def digest(docs: DataFrame, **hot: int) -> DataFrame:
-    """The contract's columns; ``hot`` goes to ``dedup_substrings``."""
-    return dedup_substrings(docs, **hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    groups, mask = max(6, -(-total // BUCKET_BYTES)), (1 << hash_bits) - 1
+    texts = docs.withColumn("who", F.xxhash64("doc_id", "text"))
+    found = materialize(_match_cells(_cells(texts, groups, hot_local, mask), groups, hot), "cells")
+    texts = texts.withColumn("dest", F.pmod("who", F.lit(groups)).cast("int"))
+    edges = materialize(_edge_text(texts, found, groups, mask), "edges")
+    known = found.where(F.col("kind") == CUTS).unionByName(edges.where(F.col("kind") == CUTS))
+    return _cut(texts, known.unionByName(_match_edges(edges, groups)))
+
+
+def digest(docs: DataFrame, **options: int) -> DataFrame:
+    """The contract's columns; ``options`` go to ``dedup_substrings``."""
+    return dedup_substrings(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

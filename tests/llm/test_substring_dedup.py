@@ -11,24 +11,28 @@ from .helpers import EDGES, docs
 
 
 def brute(rows):
-    seen, out = set(), []
-    done = set()
-    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
-        b = (t or "").encode()
-        m = bytearray(len(b))
+    """Places are (doc_id, start); a window is cut if an equal one has a smaller place. Null ids come last."""
+    key = lambda r: 2**63 - 1 if r[0] is None else r[0]
+    first = {}
+    for r in rows:
+        b = (r[1] or "").encode()
         for i in range(len(b) - 99):
             w = hashlib.md5(b[i : i + 100]).digest()
-            if w in seen and (d, i, w) not in done:
+            first[w] = min(first.get(w, (2**64, 0)), (key(r), i))
+    out = []
+    for r in rows:
+        b = (r[1] or "").encode()
+        m = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if first[hashlib.md5(b[i : i + 100]).digest()] < (key(r), i):
                 m[i : i + 100] = b"\1" * 100
-            seen.add(w)
-            done.add((d, i, w))
         runs = sum(1 for i in range(len(m)) if m[i] and (i == 0 or not m[i - 1]))
-        out.append((d, len(b), sum(m), runs, hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest()))
+        out.append((key(r), len(b), sum(m), runs, hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest()))
     return sorted(out)
 
 
 def rows_of(df):
-    return sorted(tuple(r) for r in df.collect() if r["doc_id"] is not None)
+    return sorted((2**63 - 1 if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in df.collect())
 
 
 def test_all_documents(spark, sf):
@@ -36,19 +40,37 @@ def test_all_documents(spark, sf):
     assert rows_of(queries.op6_substring_dedup(spark, sf)) == brute(rows)
 
 
-@pytest.mark.parametrize(("hot_local", "hot"), [(S.HOT_LOCAL, S.HOT), (1, 1), (5, 2)])
-def test_random_repeats(spark, hot_local, hot):
+@pytest.mark.parametrize(("hot_local", "hot", "bits"), [(S.HOT_LOCAL, S.HOT, 64), (1, 1, 64), (5, 2, 64), (S.HOT_LOCAL, S.HOT, 3), (2, 3, 5)])
+def test_random_repeats(spark, hot_local, hot, bits):
     rnd = random.Random(5)
     frag = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(50, 260))) for _ in range(12)]
-    rows = [(i * 3, "".join(rnd.choice(frag)[rnd.randint(0, 40) :] for _ in range(rnd.randint(0, 5)))) for i in range(200)] + [(1, "a" * 5000), (2, "ab" * 3000), (4, "a" * 250), (5, None), (7, "")]
-    assert rows_of(S.digest(docs(spark, rows), hot_local=hot_local, hot=hot)) == brute(rows)
+    text = lambda: "".join(rnd.choice(frag)[rnd.randint(0, 40) :] for _ in range(rnd.randint(0, 5)))
+    rows = [(i * 3, text()) for i in range(200)] + [(1, "a" * 5000), (2, "ab" * 3000), (4, "a" * 250), (5, None), (7, "")]
+    rows += [(None, text()) for _ in range(20)] + [(33, text()) for _ in range(5)] + [rows[20], rows[20]]
+    assert rows_of(S.digest(docs(spark, rows), hot_local=hot_local, hot=hot, hash_bits=bits)) == brute(rows)
 
 
 def test_edges(spark):
-    assert S.digest(docs(spark, EDGES)).count() == len(EDGES)
+    assert rows_of(S.digest(docs(spark, EDGES))) == brute(EDGES)
     assert S.digest(docs(spark, [])).count() == 0
     got = S.digest(docs(spark, [(None, "z" * 300), (1, "z" * 99), (2, "z" * 99)])).collect()
-    assert sorted(r["n_removed"] for r in got) == [0, 0, 0]
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 299]
+
+
+def test_colliding_hashes_of_the_sort(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 600).astype(np.uint8)
+    start, size, group = rng.integers(0, 500, 80), np.full(80, 60), np.zeros(80, dtype=np.int64)
+    want = S.classes_of(data, start, size, group)
+    real, used = S.Poly.spans, []
+
+    def weak(self, prefix, a, b):
+        used.append(self.seed)
+        return real(self, prefix, a, b) & np.uint64(7 if self.seed < 6 else 2**64 - 1)
+
+    monkeypatch.setattr(S.Poly, "spans", weak)
+    got = S.classes_of(data, start, size, group)
+    assert max(used) == 6 and (got[1] == want[1]).all() and (start[got[0]] == start[want[0]]).all()
 
 
 def test_suffix_sort():
@@ -64,9 +86,3 @@ def test_suffix_sort():
         if group[order[k]] == group[order[k - 1]]:
             a, b = texts[k - 1][1], texts[k][1]
             assert near[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
-
-
-def test_spark_hash(spark):
-    ids = [0, 1, -1, 2**62, -(2**63), 123456789]
-    want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("xxhash64(i)").collect()]
-    assert S.spark_hash(np.array(ids, dtype=np.int64)).tolist() == want
