@@ -46,7 +46,7 @@ SPAN = 2 * WINDOW - GRAM
 #: Text bytes for each bucket and for each group of documents, and for one pass in a map task.
 BUCKET_BYTES, PASS_BYTES, PIECE = 16 << 20, 8 << 20, 1 << 19
 #: Finer buckets of step 4 in one bucket, and most shuffle partitions (beyond, a partition has several buckets).
-FINE, MOST_PARTITIONS = 8, 50_000
+FINE, MOST_PARTITIONS = 16, 50_000
 #: Different cells of one anchor from which it counts as hot, in a map task and in a bucket.
 HOT_LOCAL, HOT = 64, 4000
 
@@ -359,7 +359,7 @@ def _single_windows(cells: np.ndarray, data: np.ndarray, shift: int, mask: int)
 
 
 def _edge_text(texts: DataFrame, found: DataFrame, groups: int, mask: int) -> DataFrame:
-    """Cells and their bytes by anchor, and cuts known already by document."""
+    """Cells and their bytes by anchor, and cuts known already, in the first fine bucket of their documents' group."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         edges = _records(right, CELL, BY_DOC)
@@ -385,7 +385,7 @@ def _edge_text(texts: DataFrame, found: DataFrame, groups: int, mask: int) -> Da
             data = padded(chunks)
             every, begin, again = collapse(np.concatenate(cells), data, np.concatenate(begins))
             cuts = _cuts(every[again])
-            rows += _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
+            rows += _batches(_NAMES, _home(cuts, groups) * FINE, cuts, CUTS)
             every, begin = every[~again], begin[~again]
             keys = (every["anchor"] % _U(groups * FINE)).astype(np.int64)
             order = np.argsort(keys, kind="stable")
@@ -534,19 +534,24 @@ def edge_repeats(cells: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def _match_edges(edge_text: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _by_key(batches, "bucket"):
+        for bucket, t in _by_key(batches, "bucket"):
+            known = _records(t, CUT, CUTS)
+            yield from _batches(_NAMES, np.full(len(known), bucket // FINE), known, CUTS)
             cells, data = [], []
-            for blob in t.column("blob"):
+            for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")):
+                if kind == CUTS:
+                    continue
                 blob = blob.as_buffer()
                 n = int.from_bytes(blob[:4].to_pybytes(), "little")
                 cells.append(np.frombuffer(blob, dtype=CELL, count=n, offset=4))
                 data.append(np.frombuffer(blob, dtype=np.uint8, offset=4 + n * CELL.itemsize))
-            cuts = edge_repeats(np.concatenate(cells), np.concatenate(data))
-            yield from _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
-            del cells, data, cuts
+            if cells:
+                cuts = edge_repeats(np.concatenate(cells), np.concatenate(data))
+                yield from _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
+            del cells, data
             release_memory()
 
-    rows = edge_text.where(F.col("kind") == WITH_BYTES).repartition(min(groups, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    rows = edge_text.repartition(min(groups, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, KEYED)
 
 
@@ -606,9 +611,8 @@ def dedup_substrings(docs: DataFrame, hot_local: int = HOT_LOCAL, hot: int = HOT
     texts = docs.withColumn("who", F.xxhash64("doc_id", "text"))
     found = materialize(_match_cells(_cells(texts, groups, hot_local, mask), groups, hot), "cells")
     texts = texts.withColumn("dest", F.pmod("who", F.lit(groups)).cast("int"))
-    edges = materialize(_edge_text(texts, found, groups, mask), "edges")
-    known = found.where(F.col("kind") == CUTS).unionByName(edges.where(F.col("kind") == CUTS))
-    return _cut(texts, known.unionByName(_match_edges(edges, groups)))
+    cuts = _match_edges(_edge_text(texts, found, groups, mask), groups)
+    return _cut(texts, found.where(F.col("kind") == CUTS).unionByName(cuts))
 
 
 def digest(docs: DataFrame, **options: int) -> DataFrame:
