@@ -53,7 +53,7 @@ HOT_LOCAL, HOT = 64, 4000
 OPEN, MARK, EDGE, HOT_EDGE = range(4)
 LAST = 2**63 - 1
 _U = np.uint64
-CELL = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("who", "<u8"), ("cell", "<u4"), ("start", "<i4"), ("off", "u1"), ("count", "u1"), ("tag", "u1")])
+CELL = np.dtype([("anchor", "<u8"), ("who", "<u8"), ("cell", "<u4"), ("start", "<i4"), ("off", "u1"), ("count", "u1"), ("tag", "u1")])
 CUT = np.dtype([("who", "<u8"), ("start", "<i4"), ("size", "<i4")])
 
 
@@ -112,10 +112,10 @@ def anchors(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & low).astype(np.int64), grams
 
 
-def cells_of(texts: list[bytes], docs: list[int], whose: list[int], shifts: list[int], mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of texts (or pieces of texts, which begin at ``shifts``) one after the other, their cells, and where these begin."""
+def cells_of(texts: list[bytes], docs: list[int], whose: list[int], shifts: list[int], mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts (or pieces of texts, which begin at ``shifts``) one after the other, their cells, these cells' doc_ids, and where they begin."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    nothing = np.empty(0, dtype=CELL), np.empty(0, dtype=np.int64)
+    nothing = np.empty(0, dtype=CELL), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     if len(data) < WINDOW:
         return data, *nothing
     prefix = _ONE.prefix(data)
@@ -135,10 +135,9 @@ def cells_of(texts: list[bytes], docs: list[int], whose: list[int], shifts: list
     out["off"], out["count"], out["tag"] = where - start, count, OPEN
     out["cell"] = mixed(mixed(_ONE.spans(prefix, start, start + count - 1 + WINDOW)) + out["off"].astype(_U) * _U(256) + count.astype(_U)) & _U(mask & 0xFFFFFFFF)
     k = row[start]
-    out["doc"] = np.array(docs, dtype=np.int64)[k]
     out["who"] = np.array(whose, dtype=np.int64).view(_U)[k]
     out["start"] = start - begins[k] + np.array(shifts, dtype=np.int64)[k]
-    return data, out, start
+    return data, out, np.array(docs, dtype=np.int64)[k], start
 
 
 def padded(chunks: list[np.ndarray]) -> np.ndarray:
@@ -160,10 +159,6 @@ def equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray
     return out
 
 
-def _in_order(cells: np.ndarray) -> np.ndarray:
-    return np.lexsort((cells["who"], cells["start"], cells["doc"], cells["cell"], cells["anchor"]))
-
-
 def _changes(cells: np.ndarray, *fields: str) -> np.ndarray:
     """Whether a cell differs from the one before it in any of the fields."""
     out = np.ones(len(cells), dtype=bool)
@@ -174,24 +169,23 @@ def _changes(cells: np.ndarray, *fields: str) -> np.ndarray:
     return out
 
 
-def collapse(cells: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells in order, where their bytes begin, and whether they repeat an earlier one; ``data`` is padded.
+def collapse(cells: np.ndarray, doc: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells in order, their doc_ids, where their bytes begin, and whether they repeat an earlier one; ``data`` is padded.
 
     Cells whose hashes agree are compared byte by byte; one that differs from the first
     gets another hash, so that equal hashes mean equal bytes in what is returned.
     """
     while True:
-        order = _in_order(cells)
-        cells, begin = cells[order], begin[order]
-        fresh = _changes(cells, "anchor", "cell", "doc", "start", "who")  # a row given twice counts once
-        cells, begin = cells[fresh], begin[fresh]
+        order = np.lexsort((cells["who"], cells["start"], doc, cells["cell"], cells["anchor"]))
+        order = order[_changes(cells[order], "anchor", "cell", "start", "who")]  # a row given twice counts once
+        cells, doc, begin = cells[order], doc[order], begin[order]
         head = np.flatnonzero(_changes(cells, "anchor", "cell"))
         first = np.repeat(head, np.diff(np.r_[head, len(cells)]))
         differ = (cells["off"] != cells["off"][first]) | (cells["count"] != cells["count"][first])
         ask = np.flatnonzero(~differ & (first != np.arange(len(cells))))
         differ[ask] = ~equal_bytes(data, begin[ask], begin[first[ask]], _sizes(cells)[ask])
         if not differ.any():
-            return cells, begin, (cells["doc"] != cells["doc"][first]) | (cells["start"] != cells["start"][first])
+            return cells, doc, begin, (doc != doc[first]) | (cells["start"] != cells["start"][first])
         cells["cell"][differ] = (cells["cell"][differ].astype(_U) * _U(0x9E3779B1) + _U(0x7F4A7C15)) & _U(0xFFFFFFFF)
 
 
@@ -214,8 +208,8 @@ def with_company(cells: np.ndarray, hot_from: int) -> np.ndarray:
     cells = cells[cells["tag"] == OPEN]
     if not len(cells):
         return cells
-    cells = cells[_in_order(cells)]
-    cells = cells[_changes(cells, "anchor", "cell", "doc", "start", "who")]
+    cells = cells[np.lexsort((cells["who"], cells["start"], cells["cell"], cells["anchor"]))]
+    cells = cells[_changes(cells, "anchor", "cell", "start", "who")]
     head = _changes(cells, "anchor")
     group = np.cumsum(head) - 1
     hot = (np.bincount(group, weights=_changes(cells, "anchor", "cell")) > hot_from) | np.isin(cells["anchor"][head], marked)
@@ -278,7 +272,7 @@ CUTS, BY_ANCHOR, BY_DOC, WITH_BYTES = range(4)
 def _cells(texts: DataFrame, groups: int, hot_local: int, mask: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory(caches=True)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         held, ids, whose, shifts, size, passed = [], [], [], [], 0, 0
 
         def flush():
@@ -293,7 +287,8 @@ def _cells(texts: DataFrame, groups: int, hot_local: int, mask: int) -> DataFram
             flush()
             if found:
                 at = np.cumsum([0, *(len(f[0]) for f in found)])
-                cells, _, again = collapse(np.concatenate([f[1] for f in found]), padded([f[0] for f in found]), np.concatenate([f[2] + k for f, k in zip(found, at)]))
+                starts = np.concatenate([f[3] + k for f, k in zip(found, at)])
+                cells, _, _, again = collapse(np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]), padded([f[0] for f in found]), starts)
                 found.clear()
                 cuts = _cuts(cells[again])
                 yield from _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
@@ -354,10 +349,23 @@ def _single_windows(cells: np.ndarray, data: np.ndarray, shift: int, mask: int)
     out = np.empty(len(start), dtype=CELL)
     out["anchor"] = mixed(_ONE.spans(_ONE.prefix(part), start - low, start - low + WINDOW)) & _U(mask)
     out["cell"] = mixed(_TWO.spans(_TWO.prefix(part), start - low, start - low + WINDOW)) & _U(mask & 0xFFFFFFFF)
-    out["doc"], out["who"], out["start"], out["off"], out["count"], out["tag"] = cells["doc"][0], cells["who"][0], start, 0, 1, EDGE
+    out["who"], out["start"], out["off"], out["count"], out["tag"] = cells["who"][0], start, 0, 1, EDGE
     return out
 
 
+def _packed(cells: np.ndarray, doc: np.ndarray, data: np.ndarray) -> bytes:
+    """Cells with their doc_ids and bytes, compressed, after the size of what was compressed and the number of cells."""
+    raw = cells.tobytes() + doc.tobytes() + data.tobytes()
+    return np.array([len(raw), len(cells)], dtype="<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, n = np.frombuffer(blob, dtype="<i8", count=2).tolist()
+    raw = pa.decompress(blob[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    at = n * CELL.itemsize
+    return np.frombuffer(raw, dtype=CELL, count=n), np.frombuffer(raw, dtype="<i8", count=n, offset=at), np.frombuffer(raw, dtype=np.uint8, offset=at + 8 * n)
+
+
 def _edge_text(texts: DataFrame, found: DataFrame, groups: int, mask: int) -> DataFrame:
     """Cells and their bytes by anchor, and cuts known already, in the first fine bucket of their documents' group."""
 
@@ -366,8 +374,8 @@ def _edge_text(texts: DataFrame, found: DataFrame, groups: int, mask: int) -> Da
         edges = edges[np.argsort(edges["who"], kind="stable")]
         heads = np.flatnonzero(_changes(edges, "who"))
         mine = {int(edges["who"][a]): (a, b) for a, b in zip(heads, [*heads[1:], len(edges)])}
-        chunks, cells, begins, size = [], [], [], 0
-        who, column = left.column("who").to_pylist(), left.column("text")
+        chunks, cells, docs, begins, size = [], [], [], [], 0
+        who, ids, column = left.column("who").to_pylist(), left.column("doc_id").to_pylist(), left.column("text")
         for r in range(left.num_rows) if mine else ():
             a, b = mine.pop(who[r] % 2**64, (0, 0))  # rows with equal doc_id and text are one
             if a == b:
@@ -377,25 +385,26 @@ def _edge_text(texts: DataFrame, found: DataFrame, groups: int, mask: int) -> Da
             hot = own["tag"] == HOT_EDGE
             for part in (own[~hot], _single_windows(own[hot], data, 0, mask) if hot.any() else own[:0]):
                 cells.append(part)
+                docs.append(np.full(len(part), LAST if ids[r] is None else ids[r], dtype=np.int64))
                 begins.append(part["start"].astype(np.int64) + size)
             chunks.append(data)
             size += len(data)
         rows: list[pa.RecordBatch] = []
         if cells:
             data = padded(chunks)
-            every, begin, again = collapse(np.concatenate(cells), data, np.concatenate(begins))
+            every, doc, begin, again = collapse(np.concatenate(cells), np.concatenate(docs), data, np.concatenate(begins))
             cuts = _cuts(every[again])
             rows += _batches(_NAMES, _home(cuts, groups) * FINE, cuts, CUTS)
-            every, begin = every[~again], begin[~again]
+            every, doc, begin = every[~again], doc[~again], begin[~again]
             keys = (every["anchor"] % _U(groups * FINE)).astype(np.int64)
             order = np.argsort(keys, kind="stable")
-            keys, every, begin = keys[order], every[order], begin[order]
+            keys, every, doc, begin = keys[order], every[order], doc[order], begin[order]
             heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             view = np.lib.stride_tricks.sliding_window_view(data, SPAN)
             blobs = []
             for a, b in zip(heads, [*heads[1:], len(keys)]):
                 inside = np.arange(SPAN) < _sizes(every[a:b])[:, None]
-                blobs.append(int(b - a).to_bytes(4, "little") + every[a:b].tobytes() + view[begin[a:b]][inside].tobytes())
+                blobs.append(_packed(every[a:b], doc[a:b], view[begin[a:b]][inside]))
             rows.append(pa.RecordBatch.from_arrays([pa.array(keys[heads].astype(np.int32)), pa.array([WITH_BYTES] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], _NAMES))
         release_memory()
         return pa.Table.from_batches(rows) if rows else pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]).empty_table()
@@ -497,12 +506,12 @@ def classes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.
     raise RuntimeError("hashes keep colliding")
 
 
-def edge_repeats(cells: np.ndarray, data: np.ndarray) -> np.ndarray:
+def edge_repeats(cells: np.ndarray, doc: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Cuts for windows of cells that repeat an earlier one; ``data`` has the cells' bytes one after the other."""
     size = _sizes(cells)
     begin = np.cumsum(size) - size
-    order = np.lexsort((cells["start"], cells["doc"], cells["anchor"]))
-    cells, size, begin = cells[order], size[order], begin[order]
+    order = np.argsort(cells["anchor"], kind="stable")
+    cells, doc, size, begin = cells[order], doc[order], size[order], begin[order]
     group = np.cumsum(_changes(cells, "anchor")) - 1
     anchor = begin + cells["off"]
     right, right_near = classes_of(data, anchor, begin + size - anchor, group)
@@ -519,15 +528,13 @@ def edge_repeats(cells: np.ndarray, data: np.ndarray) -> np.ndarray:
         l_class[left] = np.cumsum(left_near < j)
         key = r_class[has] * (len(cells) + 1) + l_class[has]
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        doc, start = cells["doc"][has], cells["start"][has].astype(np.int64) + top[has] - j
-        place = np.lexsort((start, doc))  # cells are in order of their own starts, windows need not be
-        rank = np.empty(len(has), dtype=np.int64)
-        rank[place] = np.cumsum(np.r_[True, (doc[place][1:] != doc[place][:-1]) | (start[place][1:] != start[place][:-1])])
-        least = np.full(len(first), len(has) + 1)
-        np.minimum.at(least, back, rank)
-        again = has[rank > least[back]]
+        own, start = doc[has], cells["start"][has] + top[has] - j
+        place = np.lexsort((start, own, back))  # by class, then by place
+        head = place[np.searchsorted(back[place], np.arange(len(first)))]
+        later = (own != own[head][back]) | (start != start[head][back])
+        again = has[later]
         cut = np.empty(len(again), dtype=CUT)
-        cut["who"], cut["start"], cut["size"] = cells["who"][again], cells["start"][again] + top[again] - j, WINDOW
+        cut["who"], cut["start"], cut["size"] = cells["who"][again], start[later], WINDOW
         out.append(cut)
     return merged(np.concatenate(out)) if out else np.empty(0, dtype=CUT)
 
@@ -537,18 +544,11 @@ def _match_edges(edge_text: DataFrame, groups: int) -> DataFrame:
         for bucket, t in _by_key(batches, "bucket"):
             known = _records(t, CUT, CUTS)
             yield from _batches(_NAMES, np.full(len(known), bucket // FINE), known, CUTS)
-            cells, data = [], []
-            for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")):
-                if kind == CUTS:
-                    continue
-                blob = blob.as_buffer()
-                n = int.from_bytes(blob[:4].to_pybytes(), "little")
-                cells.append(np.frombuffer(blob, dtype=CELL, count=n, offset=4))
-                data.append(np.frombuffer(blob, dtype=np.uint8, offset=4 + n * CELL.itemsize))
-            if cells:
-                cuts = edge_repeats(np.concatenate(cells), np.concatenate(data))
+            parts = [_unpacked(blob.as_py()) for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")) if kind == WITH_BYTES]
+            if parts:
+                cuts = edge_repeats(*(np.concatenate(x) for x in zip(*parts)))
                 yield from _batches(_NAMES, _home(cuts, groups), cuts, CUTS)
-            del cells, data
+            del known, parts
             release_memory()
 
     rows = edge_text.repartition(min(groups, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
