@@ -28,11 +28,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset (tests).
+
+    On a cluster, a temporary folder would be each machine's own, so an unset folder is an error there.
+    """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not (sc.master or "").startswith("local") or "cluster" in (sc.master or ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_plumbline_scratch", None):
         sc._plumbline_scratch = "file://" + tempfile.mkdtemp(prefix="plumbline-scratch-")
     return sc._plumbline_scratch
@@ -43,16 +48,31 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Cuts the lineage like ``checkpoint()`` but columnar and compressed; any
     executor can read the files, so a lost executor costs no recomputation.
-    Files go when the driver's JVM exits.
+    Files go when the driver's JVM exits, or with ``discard``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(schema).parquet(path)
+    fs, hpath = _on_fs(spark, path)
+    fs.deleteOnExit(hpath)
+    out = spark.read.schema(schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` gave, once nothing that is still to run reads it."""
+    path = getattr(df, "_plumbline_path", None)
+    if path:
+        fs, hpath = _on_fs(df.sparkSession, path)
+        fs.delete(hpath, True)
+
+
+def _on_fs(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(sc._jsc.hadoopConfiguration()), hpath
 
 
 def sample_by_hash(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
