@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.runtime import materialize, ship
+from plumbline.runtime import discard, materialize, ship
 
-__all__ = ["arrow_map", "let", "materialize", "picked", "release_memory", "ship", "table"]
+__all__ = ["arrow_map", "discard", "let", "materialize", "picked", "release_memory", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,9 +11,14 @@
 3. In a list, the union sketch (the ``K`` smallest values of both) estimates
    similarity and joins documents into candidate groups; only a spanning forest of
    each list leaves the task. Components of these edges are the candidate groups.
-4. Each group's full shingle sets are compared exactly. A document that has been
-   linked isn't compared with its own component again, and only a spanning forest
-   leaves the task. Components of these edges are the result.
+4. In each group, documents whose full shingle sets share one of their rarest shingles
+   (the necessary prefix for the wanted similarity) are compared exactly; no others can
+   be linked. A document that has been linked isn't compared with its own component
+   again, and only a spanning forest leaves the task. Components of these edges are
+   the result.
+
+Shingles are compared as 64-bit hashes of their words: two different shingles of one pair
+of documents agree with a chance of about 1e-19 for each pair of shingles.
 
 Lists and groups above a block size are dealt out as pairs of blocks, so no task
 holds more than two blocks, whatever a list's or group's size.
@@ -41,7 +46,7 @@ from plumbline.llm.shingles import shingle_set
 
 K = 32
 #: Rows of a list, and of a group, that one block holds at most, about; and shingles of a group.
-LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1500, 1000, 500_000
+LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1500, 2000, 1_000_000
 #: Percent of the union that linked documents share at least, where no contract says otherwise.
 SHARE = 80
 
@@ -106,58 +111,71 @@ def _union_counts(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _forest(n: int, near) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the graph in which ``near(i, others)`` tells the neighbours of i.
+    """A spanning forest of the graph in which ``near(i, free)`` tells the neighbours of i among the free nodes.
 
     Each node asks only about nodes that no component has yet.
     """
-    free = np.arange(n)
-    while len(free):
-        root, free = int(free[0]), free[1:]
+    free, left = np.ones(n, dtype=bool), n
+    for root in range(n):
+        if not free[root]:
+            continue
+        free[root], left = False, left - 1
         queue = [root]
-        while queue and len(free):
-            at = queue.pop()
-            hit = near(at, free)
-            for k in free[hit]:
-                yield root, int(k)
-            queue += free[hit].tolist()
-            free = free[~hit]
+        while queue and left:
+            hit = near(queue.pop(), free).tolist()
+            free[hit], left = False, left - len(hit)
+            queue += hit
+            for k in hit:
+                yield root, k
 
 
 def _list_edges(n: np.ndarray, sketch: np.ndarray, share: int) -> Iterator[tuple[int, int]]:
     enough = least_shared(share)
 
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        fits = (100 * np.minimum(n[others], n[i]) >= share * np.maximum(n[others], n[i]))
-        hit = np.zeros(len(others), dtype=bool)
-        some = others[fits]
-        if len(some):
-            least = np.minimum(enough, np.ceil(np.minimum(n[some], n[i]) * share / 100))
-            hit[fits] = _union_counts(sketch[i], sketch[some]) >= least
-        return hit
+    def near(i: int, free: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(free & (100 * np.minimum(n, n[i]) >= share * np.maximum(n, n[i])))
+        least = np.minimum(enough, np.ceil(np.minimum(n[some], n[i]) * share / 100))
+        return some[_union_counts(sketch[i], sketch[some]) >= least]
 
     return _forest(len(n), near)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], .., start[0] + size[0] - 1, start[1], .."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _group_edges(sets: list[np.ndarray], share: int) -> Iterator[tuple[int, int]]:
-    """Spanning forest of the links between full shingle sets."""
+    """Spanning forest of the links between full shingle sets.
+
+    Linked sets x and y share ``share`` percent of either at least, so each holds a shingle of
+    the other's prefix, its ``size - least + 1`` rarest ones, in its own.
+    """
     sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    flag = np.zeros(len(ids), dtype=np.int64)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        fits = 100 * np.minimum(sizes[others], sizes[i]) >= share * np.maximum(sizes[others], sizes[i])
-        hit = np.zeros(len(others), dtype=bool)
-        some = others[fits]
-        if len(some):
-            own = flat[starts[i] : ends[i]]
-            flag[own] = 1
-            where = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), sizes[some]) + np.arange(sizes[some].sum())
-            common = np.add.reduceat(flag[flat[where]], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
-            flag[own] = 0
-            hit[fits] = 100 * common >= share * (sizes[some] + sizes[i] - common)
-        return hit
+    rank = np.empty(len(ids), dtype=np.int32)
+    rank[np.argsort(np.bincount(flat), kind="stable")] = np.arange(len(ids), dtype=np.int32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    flat = rank[flat]
+    flat = flat[np.lexsort((flat, owner))]  # each set from rare to frequent
+    prefix = sizes + share * sizes // -100 + 1
+    inside = _ranges(starts, prefix)
+    by_rank = np.argsort(flat[inside], kind="stable")
+    posted, where = flat[inside][by_rank], owner[inside][by_rank]
+    flag = np.zeros(len(ids), dtype=bool)
+
+    def near(i: int, free: np.ndarray) -> np.ndarray:
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        low, high = np.searchsorted(posted, own[: prefix[i]]), np.searchsorted(posted, own[: prefix[i]], side="right")
+        some = np.unique(where[_ranges(low, high - low)])
+        some = some[free[some] & (100 * np.minimum(sizes[some], sizes[i]) >= share * np.maximum(sizes[some], sizes[i]))]
+        if not len(some):
+            return some
+        flag[own] = True
+        common = np.add.reduceat(flag[flat[_ranges(starts[some], sizes[some])]].astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+        flag[own] = False
+        return some[100 * common >= share * (sizes[some] + sizes[i] - common)]
 
     return _forest(len(sets), near)
 
