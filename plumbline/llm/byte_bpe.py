@@ -246,7 +246,7 @@ class _Memo(dict):
 
 
 class Utf8Stream:
-    """Incremental UTF-8: ``feed`` gives the text of all characters that are complete; malformed bytes become U+FFFD."""
+    """Incremental UTF-8: ``complete`` gives the bytes of all characters that are complete, ``feed`` their text; malformed bytes become U+FFFD in it."""
 
     #: Continuation bytes that follow a lead byte; lead bytes of other kinds are malformed.
     FOLLOW = {**dict.fromkeys(range(0xC2, 0xE0), 1), **dict.fromkeys(range(0xE0, 0xF0), 2), **dict.fromkeys(range(0xF0, 0xF5), 3)}
@@ -254,7 +254,7 @@ class Utf8Stream:
     def __init__(self):
         self.held = b""
 
-    def feed(self, data: bytes) -> str:
+    def complete(self, data: bytes) -> bytes:
         data = self.held + data
         cut = len(data)
         for back in range(1, min(3, len(data)) + 1):  # only the last character can be unfinished
@@ -264,12 +264,18 @@ class Utf8Stream:
                     cut = len(data) - back
                 break
         self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return data[:cut]
 
-    def finish(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
+    def rest(self) -> bytes:
+        rest, self.held = self.held, b""
         return rest
 
+    def feed(self, data: bytes) -> str:
+        return self.complete(data).decode("utf-8", "replace")
+
+    def finish(self) -> str:
+        return self.rest().decode("utf-8", "replace")
+
 
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
@@ -278,13 +284,17 @@ class Decoder:
         for b, r in ranks.items():
             self.table[r] = b
 
-    def decode(self, ids: bytes, chunk: int = 1 << 14) -> Iterator[str]:
-        """Text of packed ids, piece by piece."""
+    def pieces(self, ids: bytes, chunk: int = 1 << 14) -> Iterator[bytes]:
+        """Bytes of packed ids, in pieces of whole characters as far as they are well-formed."""
         stream = Utf8Stream()
         for at in range(0, len(ids), 4 * chunk):
             part = memoryview(ids)[at : at + 4 * chunk].cast("I")  # native order; the contract's order is little-endian
-            yield stream.feed(b"".join(map(self.table.__getitem__, part)))
-        yield stream.finish()
+            yield stream.complete(b"".join(map(self.table.__getitem__, part)))
+        yield stream.rest()
+
+    def decode(self, ids: bytes, chunk: int = 1 << 14) -> Iterator[str]:
+        """Text of packed ids, piece by piece."""
+        return (piece.decode("utf-8", "replace") for piece in self.pieces(ids, chunk))
 
 
 _KEPT: dict[str, tuple[Encoder, Decoder]] = {}
@@ -341,8 +351,8 @@ def _round_trip(encoder: Encoder, decoder: Decoder, text: str | None) -> tuple[b
     """Ids of a text, and the hash of the bytes that decoding them gives."""
     ids = encoder.encode(text)
     back = hashlib.sha256()
-    for part in decoder.decode(ids):
-        back.update(part.encode("utf-8", "surrogatepass"))
+    for part in decoder.pieces(ids):
+        back.update(part)
     return ids, back.hexdigest()
 
 
