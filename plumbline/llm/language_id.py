@@ -15,7 +15,6 @@ ignored by ``predict`` and kept by ``keep_known``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,10 @@ UNKNOWN = "und"
 #: Windows that go through the network at a time.
 BATCH = 384
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; digits and numerals of any kind aren't."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -172,7 +174,7 @@ def probabilities(net: Network, texts: list[str | None]) -> list[np.ndarray | No
         held = 0
 
     for i, t in enumerate(texts):
-        if not t or not _LETTER.search(t):
+        if not t or not has_letter(t):
             continue
         windows = as_windows(t.encode("utf-8", "surrogatepass"))
         for at in range(0, len(windows), BATCH):

@@ -76,3 +76,46 @@ def test_pairs_are_learned():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality_model.fit_tables(x, y, rounds=40)
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["²", "½", "①", "Ⅷ", "12 ٣", "_ - !", "ª", "中", "ß", "1a"]
+    assert [language_id.has_letter(t) for t in texts] == [False] * 6 + [True] * 4
+    net = language_id.Network.new(["a", "b"], np.random.default_rng(0))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs(spark, list(enumerate(texts))), net).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [True] * 6 + [False] * 4
+
+
+def test_network_against_plain_loops():
+    net = language_id.Network.new(["a", "b", "c"], np.random.default_rng(3))
+    texts = ["short é text", "x" * 300 + " the end", "中文 and more " * 60, None, "12"]
+    for text, got in zip(texts, language_id.probabilities(net, texts)):
+        if not text or not any(c.isalpha() for c in text):
+            assert got is None
+            continue
+        data, w, total, size = text.encode(), net.weights, 0, 0
+        for at in range(0, len(data), language_id.WINDOW):
+            window = data[at : at + language_id.WINDOW].ljust(language_id.WINDOW, b"\0")
+            pooled = []
+            for n in language_id.WIDTHS:
+                for f in range(language_id.FILTERS):
+                    filt = w[f"f{n}"][:, f]
+                    best = max(float(np.dot(np.concatenate([w["embed"][b] for b in window[i : i + n]]), filt)) for i in range(language_id.WINDOW - n + 1))
+                    pooled.append(max(0.0, best + float(w[f"b{n}"][f])))
+            z = np.exp(np.array(pooled) @ w["out"].astype(float) + w["bias"])
+            here = len(data[at : at + language_id.WINDOW])
+            total, size = total + here * z / z.sum(), size + here
+        assert np.allclose(got, total / size, atol=1e-4)
+
+
+def test_score_is_a_sum_of_tables(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["the", "house", "a", "is", "#", "1", "dog.", "\n"], rng.integers(1, 60))) for _ in range(300)]
+    x = np.array([quality_model.features_of(t) for t in texts])
+    model = quality_model.fit_tables(x, (x[:, 0] > np.median(x[:, 0])).astype(float), rounds=8)
+    got = {r["doc_id"]: r["score"] for r in quality_model.score(docs(spark, list(enumerate(texts[:40]))), model).collect()}
+    for i in range(40):
+        place = [sum(1 for e in edges if e <= v) for edges, v in zip(model.edges, x[i])]
+        total = model.bias + sum(t[p] for t, p in zip(model.tables, place))
+        total += sum(t[model.coarse[f][place[f]], model.coarse[k][place[k]]] for (f, k), t in zip(model.pairs, model.pair_tables))
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
