@@ -136,32 +136,39 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, hits (merged word intervals, as a flat list) and items (ids) for each document row."""
     docs = picked(docs, "doc_id", "text")
-    schema = "doc_id long, n_words long, hits array<int>, items array<long>"
-    parts = []
     blocks = list_or_one(blocks_of(benchmark, width, block_words))
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block.index(shingle_counts(docs, block)))
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _marked(docs, block, ["doc_id"]).select("doc_id", "n_words", "hits", "items")
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # each block must see the same numbers
+    rows = materialize(_marked(numbered, block, ["_row", "doc_id"]), "leaks")
+    while more is not None:
+        block, more = more, next(blocks, None)
+        rows = rows.unionByName(materialize(_marked(numbered, block, ["_row", "doc_id"]).where(F.size("hits") > 0), "leaks"))
+    return _united(rows)
 
-        def make(shared=shared):
-            index = shared.value
-            firsts, lengths = {s[0] for s in index}, {len(s) for s in index}
 
-            def mark(cols):
-                counts, hits, items = [], [], []
-                for text in cols["text"]:
-                    words = words_of(text)
-                    spans, owners = find_occurrences(words, index, firsts, lengths)
-                    counts.append(len(words))
-                    hits.append([x for span in merged(spans) for x in span])
-                    items.append(sorted(x for x in owners if x is not None))
-                return {"doc_id": cols["doc_id"], "n_words": counts, "hits": hits, "items": items}
+def _marked(docs: DataFrame, block: Block, keys: list[str]) -> DataFrame:
+    """The key columns, n_words, hits and items of every row of ``docs``, for one block of the benchmark."""
+    shared = docs.sparkSession.sparkContext.broadcast(block.index(shingle_counts(docs, block)))
 
-            return mark
+    def make():
+        index = shared.value
+        firsts, lengths = {s[0] for s in index}, {len(s) for s in index}
+
+        def mark(cols):
+            counts, hits, items = [], [], []
+            for text in cols["text"]:
+                words = words_of(text)
+                spans, owners = find_occurrences(words, index, firsts, lengths)
+                counts.append(len(words))
+                hits.append([x for span in merged(spans) for x in span])
+                items.append(sorted(x for x in owners if x is not None))
+            return {**{k: cols[k] for k in keys}, "n_words": counts, "hits": hits, "items": items}
 
-        parts.append(arrow_map(docs, make, schema))
-    if len(parts) == 1:
-        return parts[0]
-    return _united(docs, parts, schema)
+        return mark
+
+    return arrow_map(docs, make, "".join(f"{k} long, " for k in keys) + "n_words long, hits array<int>, items array<long>")
 
 
 def list_or_one(blocks: Iterator[Block]) -> Iterator[Block]:
@@ -174,12 +181,8 @@ def list_or_one(blocks: Iterator[Block]) -> Iterator[Block]:
         yield Block({})
 
 
-def _united(docs: DataFrame, parts: list[DataFrame], schema: str) -> DataFrame:
-    """Results of several blocks as one row for each document row; each block's part is written before the next is made."""
-    rows = None
-    for p in parts:
-        done = materialize(p.withColumn("_row", F.row_number().over(_by_id())), "leaks")
-        rows = done if rows is None else rows.unionByName(done)
+def _united(rows: DataFrame) -> DataFrame:
+    """Results of several blocks as one row for each document row."""
 
     def make():
         def merge(cols):
@@ -188,14 +191,8 @@ def _united(docs: DataFrame, parts: list[DataFrame], schema: str) -> DataFrame:
 
         return merge
 
-    grouped = rows.groupBy("doc_id", "_row").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-    return arrow_map(grouped.drop("_row"), make, schema)
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("n_words")
+    grouped = rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    return arrow_map(grouped.drop("_row"), make, "doc_id long, n_words long, hits array<int>, items array<long>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 1_000_000) -> DataFrame:

@@ -27,3 +27,13 @@ def test_edges(spark):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["1", "2", "3", "5", "6", "None"]
     assert D.clean(docs(spark, EDGES), items.limit(0)).count() == len(EDGES)
     assert sorted(str(r["doc_id"]) for r in D.clean(docs(spark, EDGES), items, block_words=5).collect()) == ["1", "2", "3", "5", "6", "None"]
+
+
+def test_repeated_and_null_ids_over_many_blocks(spark):
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(12)), 0) for i in range(6)], ITEMS)
+    texts = [" ".join(f"i{i}w{k}" for k in range(12)) for i in range(6)]
+    rows = [(None, texts[0] + " x"), (None, "y " + texts[1]), (None, "nothing at all"), (7, texts[2]), (7, "z " + texts[3] + " " + texts[4]), (7, texts[2])]
+    pick = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items_sha256"]) for r in D.digest(df).collect())
+    one = pick(D.find_contamination(docs(spark, rows), items))
+    assert [r[:3] for r in one] == [("7", 12, 12), ("7", 12, 12), ("7", 25, 24), ("None", 3, 0), ("None", 13, 12), ("None", 13, 12)]
+    assert pick(D.find_contamination(docs(spark, rows), items, block_words=13)) == one
