@@ -1,8 +1,8 @@
 """Quality rules: base word statistics and cross-document line frequency, with DataFrame functions only.
 
 Lines are normalised (A-Z to lower case, white space folded and trimmed) and hashed. For
-each host (``source``), the distinct documents that hold a line are counted; exact copies
-count once, as copies are the deduplication operators' business. A line above its host's
+each host (``source``), the documents that hold a line are counted, each once however often it
+has the line; every row is a document, copies too. A line above its host's
 limit, ``max(min_docs, max_share * documents of the host)``, is boilerplate and is removed
 from all documents of that host. A document that keeps less than ``min_left`` of its words
 is depleted and rejected, as is one that fails the base rules.
@@ -26,6 +26,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 10, 0.05, 0.5
+#: Parts into which a frequent line's rows are dealt in the join.
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -68,7 +70,7 @@ def normal_line(line: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """A row for each document: base statistics, a hash of the text, and its lines as (hash, words)."""
+    """A row for each document: base statistics, and its lines as (hash, words)."""
     text = F.coalesce("text", F.lit(""))
     start = docs.select(
         F.monotonically_increasing_id().alias("_row"),
@@ -82,7 +84,6 @@ def statistics(docs: DataFrame) -> DataFrame:
         "_row",
         "doc_id",
         "host",
-        F.xxhash64("text").alias("copy"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         n_symbols(F.col("text")).cast("long").alias("n_symbols"),
@@ -94,9 +95,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def boilerplate(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h) of lines above their host's limit."""
-    hosts = stats.groupBy("host").agg(F.count_distinct("copy").alias("docs"))
-    lines = stats.select("host", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = lines.groupBy("host", "h").agg(F.count_distinct("copy").alias("n")).where(F.col("n") > min_docs)
+    hosts = stats.groupBy("host").agg(F.count("*").alias("docs"))
+    lines = stats.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     return counts.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "h")
 
 
@@ -105,7 +106,10 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     stats = materialize(statistics(picked(docs, "doc_id", "text", "source")), "lines")
     bad = boilerplate(stats, min_docs, max_share)
     lines = stats.select("_row", "host", F.explode("lines").alias("line")).select("_row", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
-    removed = lines.join(bad, ["host", "h"]).groupBy("_row").agg(F.sum("n").alias("gone"))
+    # a line of a whole host is dealt over SALTS tasks; where `bad` is small, Spark broadcasts it after a look at its size
+    copies = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    removed = salted.join(copies, ["host", "h", "_salt"]).groupBy("_row").agg(F.sum("n").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce("gone", F.lit(0))
     return stats.join(removed, "_row", "left").select(

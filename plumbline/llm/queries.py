@@ -131,9 +131,9 @@ WITH d AS (
 ), ln AS (
   SELECT r, host, text, l, translate(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h
   FROM (SELECT r, host, text, unnest(lines) AS l FROM d)
-), hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
+), hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
 bad AS (
-  SELECT host, h FROM (SELECT host, h, count(DISTINCT text) AS n FROM ln GROUP BY host, h) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * docs
+  SELECT host, h FROM (SELECT host, h, count(DISTINCT r) AS n FROM ln GROUP BY host, h) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * docs
 ), gone AS (
   SELECT r, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')))::BIGINT AS gone FROM ln JOIN bad USING (host, h) GROUP BY r
 ), o AS (
