@@ -7,7 +7,7 @@ from plumbline.llm.components import components
 from .helpers import EDGES, docs, duck
 
 
-def brute(rows):
+def brute(rows, share=85):
     def shingles(t):
         w = (t or "").encode().lower().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -23,7 +23,7 @@ def brute(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
                 p, q = sorted((find(a), find(b)))
                 up[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}

@@ -13,7 +13,7 @@ def test_stages_against_plain_versions(spark):
     rows = {r["doc_id"]: r for r in source.collect()}
     net = language_id.fit(source)
     known = {i for i, r in rows.items() if (p := language_id.best_of(net, [r["text"]]))[0][0] != "und" and p[1][0] >= 0.35}
-    parts = near_brute([(i, rows[i]["text"]) for i in known])
+    parts = near_brute([(i, rows[i]["text"]) for i in known], 80)
     single = {i for i in known if parts[i][1] == i}
     items = [decontaminate.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[k : k + 10]) for w in items if w for k in range(max(1, len(w) - 9))}
