@@ -1,9 +1,9 @@
 """Main-text extraction by minimum-cut labelling of a page's text blocks.
 
 A page becomes blocks of text (runs without a block-level border) that know their
-place in the element tree. A linear classifier over tag, class, link and text features
-gives each block a cost; costs are the capacities to the terminals (content,
-boilerplate). Blocks that follow one another, and blocks that are near in the tree,
+place in the element tree. A logistic regression over tag, class, link and text features,
+trained on a bounded sample of labelled pages (``html_sample``), gives each block a cost;
+costs are the capacities to the terminals (content, boilerplate). Blocks that follow one another, and blocks that are near in the tree,
 are joined by smoothness edges. A maximum flow separates the two labels at least cost.
 
 Null, empty and tagless input, broken markup and unclosed elements all work: a page
@@ -19,9 +19,12 @@ import re
 from collections import Counter, deque
 from html import unescape
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import arrow_map, picked
+from plumbline.llm.html_sample import N_PAGES
+from plumbline.llm.html_sample import pages as sample_pages
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -37,16 +40,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 NEVER = frozenset("nav footer aside form button fieldset dialog menu head option".split())
 MAIN = frozenset("article main".split())
-BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies disclaimer disqus dock "
-    "footer footnav form header login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup promo recommend recommended "
-    "related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split()
-)
-GOOD_WORDS = frozenset("article content entry main post story".split())
-
-#: The classifier's weights, in thousandths; positive speaks for content.
-WEIGHTS = {"never": -40_000, "bad": -20_000, "main": 8_000, "good": 3_000, "linked": -8_000, "head": 1_500, "item": -700, "paragraph": 700, "length": 4_000, "short": -1_000, "stop": 700, "sign": -4_000, "bias": -700}
+#: Words of class, id and role attributes that name parts which aren't content, by part and in several languages.
+LEXICON = {
+    "adverts": "ad ads advert adverts advertisement advertising anzeige anzeigen werbung reklame reklam publicite publicidad pubblicita annonce promo promoted sponsor sponsored outbrain taboola banner",
+    "navigation": "nav navbar navigation menu menue menü breadcrumb breadcrumbs pager pagination toolbar dock topnav footnav navegacion gezinme",
+    "frame": "header masthead footer kopfzeile fusszeile fußzeile pie cabecera entete contentinfo sidebar seitenleiste barra kenar",
+    "notices": "cookie cookies consent notice notices alert modal popup paywall hinweis aviso avis uyari",
+    "forms": "form login signup subscribe newsletter formular formulario",
+    "comments": "comment comments disqus replies reply respond kommentar kommentare commentaire commentaires comentario comentarios yorum yorumlar",
+    "social": "social sharing related recommend recommended widget verwandte relacionados",
+}
+BAD_WORDS = frozenset(w for group in LEXICON.values() for w in group.split())
+GOOD_WORDS = frozenset("article content entry main post story artikel inhalt beitrag contenido contenu icerik".split())
+
+FEATURES = ("never", "bad", "main", "beside", "good", "linked", "heading", "item", "paragraph", "length", "short", "stop", "sign", "bias")
 #: Smoothness: blocks that follow one another, with the same parent, and the nearest earlier block of the same section.
+#: Same unit as the classifier's costs, thousandths of a logit.
 ADJACENT, SIBLING, SECTION = 700, 900, 400
 
 
@@ -109,7 +118,7 @@ def blocks_of(html: str) -> list[Block]:
         tag, closing, attrs = tag.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if tag in RAW and not closing:
             if not attrs.rstrip().endswith("/") or tag != "iframe":
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                end = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I).search(html, at)
                 at = end.end() if end else n
             border()
         elif tag in VOID:
@@ -145,27 +154,62 @@ def blocks_of(html: str) -> list[Block]:
     return blocks
 
 
-def cost(block: Block, bad: dict[int, bool]) -> int:
-    """The classifier's verdict: positive for content."""
-    node, text, w = block.node, block.text, WEIGHTS
-    chain, up = [], node
-    while up is not None and id(up) not in bad:
-        chain.append(up)
-        up = up.parent
-    state = bad[id(up)] if up is not None else False
-    for x in reversed(chain):  # a wrapper of the main element isn't judged by its class
-        state = bad[id(x)] = state or (x.bad and not x.holds_main)
-    total = w["bias"]
-    if node.never and not node.holds_main:
-        total += w["never"]
-    if state:
-        total += w["bad"]
-    total += w["main"] * node.main + w["good"] * node.good
-    total += w["linked"] * min(block.linked, len(text)) // max(1, len(text))
-    total += w["head"] * (node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + w["item"] * (node.tag in ("li", "td", "th", "dd", "dt")) + w["paragraph"] * (node.tag in ("p", "blockquote", "pre"))
-    total += w["length"] * min(len(text), 320) // 320 + w["short"] * (len(text) < 25)
-    total += w["stop"] * (text[-1] in ".!?…:;\"'»”") + w["sign"] * ("©" in text[:40])
-    return total
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row of ``FEATURES`` for each block."""
+    bad: dict[int, bool] = {}
+    some_main = any(b.node.main for b in blocks)
+    out = np.zeros((len(blocks), len(FEATURES)))
+    for i, block in enumerate(blocks):
+        node, text = block.node, block.text
+        chain, up = [], node
+        while up is not None and id(up) not in bad:
+            chain.append(up)
+            up = up.parent
+        state = bad[id(up)] if up is not None else False
+        for x in reversed(chain):  # a wrapper of the main element isn't judged by its class
+            state = bad[id(x)] = state or (x.bad and not x.holds_main)
+        out[i] = (
+            node.never and not node.holds_main,
+            state,
+            node.main,
+            some_main and not node.main,
+            node.good,
+            min(block.linked, len(text)) / max(1, len(text)),
+            node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
+            node.tag in ("li", "td", "th", "dd", "dt"),
+            node.tag in ("p", "blockquote", "pre"),
+            min(len(text), 320) / 320,
+            len(text) < 25,
+            text[-1] in ".!?…:;\"'»”",
+            "©" in text[:40],
+            1,
+        )
+    return out
+
+
+def learn(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method."""
+    w = np.zeros(rows.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(rows @ w)))
+        slope = rows.T @ (labels - p) - ridge * w
+        w += np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(w)), slope)
+    return w
+
+
+def fit(n_pages: int = N_PAGES) -> np.ndarray:
+    """The classifier's weights, learned from at most ``n_pages`` labelled pages."""
+    rows, labels = [], []
+    for html, label in sample_pages(LEXICON, NEVER, n_pages):
+        blocks = blocks_of(html)
+        rows.append(features(blocks))
+        labels += [label[b.text] for b in blocks]
+    return learn(np.concatenate(rows), np.array(labels, dtype=float))
+
+
+def costs_of(blocks: list[Block], weights: np.ndarray) -> list[int]:
+    """The classifier's verdicts in thousandths of a logit; positive for content."""
+    return np.rint(1000 * (features(blocks) @ weights)).astype(int).tolist() if blocks else []
 
 
 def smoothness(blocks: list[Block]) -> list[dict[int, int]]:
@@ -226,20 +270,20 @@ def content_side(costs: list[int], edges: list[dict[int, int]]) -> set[int]:
     return settled
 
 
-def extract_text(html: str | None) -> str:
+def extract_text(html: str | None, weights: np.ndarray) -> str:
     """The main text of one page."""
     blocks = blocks_of(html or "")
-    bad: dict[int, bool] = {}
-    keep = content_side([cost(b, bad) for b in blocks], smoothness(blocks))
+    keep = content_side(costs_of(blocks, weights), smoothness(blocks))
     return " ".join(b.text for i, b in enumerate(blocks) if i in keep)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page; ``weights`` as ``fit`` gives them."""
+    weights = fit() if weights is None else weights
 
     def make():
         def run(cols):
-            texts = [extract_text(h) for h in cols["html"]]
+            texts = [extract_text(h, weights) for h in cols["html"]]
             return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return run
