@@ -46,7 +46,7 @@ from plumbline.llm.shingles import shingle_set
 
 K = 32
 #: Rows of a list, and of a group, that one block holds at most, about; and shingles of a group.
-LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1500, 2000, 1_000_000
+LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 750, 2000, 1_000_000
 #: Percent of the union that linked documents share at least, where no contract says otherwise.
 SHARE = 80
 
