@@ -40,6 +40,7 @@ CITIES = {
     "Balıkesir": ["balıkesir", "balikesir", "10"],
 }
 
+# Texts that stand for a missing value.
 NULL_TOKENS = ("", "NA", "N/A", "null", "NULL", "NaN", "-", "--", "nan", "none")
 
 

@@ -150,7 +150,9 @@ def benford(df: DataFrame, column: str, alpha: float = 0.05, min_n: int = 100) -
 
 
 def _flag(df: DataFrame, column: str, bounds: DataFrame, is_outlier: Column) -> DataFrame:
-    return df.withColumn("_x", values(df, column)).crossJoin(F.broadcast(bounds)).where(is_outlier)  # bounds is one row
+    """``df`` as ``row`` beside ``_x``, its value, and the one row of ``bounds``; the user's columns keep any names."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), values(df, column).alias("_x"))
+    return whole.crossJoin(F.broadcast(bounds)).where(is_outlier)
 
 
 def iqr_bounds(df: DataFrame, column: str, multiplier: float = 1.5, exact: bool = True) -> DataFrame:
@@ -162,7 +164,7 @@ def iqr_bounds(df: DataFrame, column: str, multiplier: float = 1.5, exact: bool
 def iqr_outliers(df: DataFrame, column: str, multiplier: float = 1.5, exact: bool = True) -> DataFrame:
     """The rows of ``df`` strictly outside the whiskers, with the bounds."""
     out = _flag(df, column, iqr_bounds(df, column, multiplier, exact), (F.col("_x") < F.col("lower")) | (F.col("_x") > F.col("upper")))
-    return out.select(*[f"`{c}`" for c in df.columns], "lower", "upper")
+    return out.select("row.*", "lower", "upper")
 
 
 def robust_bounds(df: DataFrame, column: str) -> DataFrame:
@@ -189,7 +191,7 @@ def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0, robust:
         scale, centre, raw = F.nullif("std", F.lit(0.0)), F.col("mean"), F.col("std")
     z = (F.col("_x") - centre) / scale
     out = _flag(df, column, b, F.abs(z) > threshold)
-    return out.select(*[f"`{c}`" for c in df.columns], z.alias("z"), (centre - threshold * raw).alias("lower"), (centre + threshold * raw).alias("upper"), (centre - threshold * scale).alias("effective_lower"), (centre + threshold * scale).alias("effective_upper"))
+    return out.select("row.*", z.alias("z"), (centre - threshold * raw).alias("lower"), (centre + threshold * raw).alias("upper"), (centre - threshold * scale).alias("effective_lower"), (centre + threshold * scale).alias("effective_upper"))
 
 
 def outlier_summary(df: DataFrame, outliers: DataFrame, column: str) -> DataFrame:

@@ -58,12 +58,16 @@ def chi_square(df: DataFrame, x: str, y: str, yates: bool = True) -> DataFrame:
     """One row: n, rows, cols, chi2 (Yates' correction on 2x2), dof, min_expected and Cramer's V."""
     t = crosstab(df, x, y)
     rows, cols = t.groupBy("x").agg(F.sum("count").alias("r")), t.groupBy("y").agg(F.sum("count").alias("c"))
-    size = rows.agg(F.sum("r").alias("n"), F.count("*").alias("k")).crossJoin(F.broadcast(cols.agg(F.count("*").alias("m"))))
-    cells = rows.crossJoin(cols).join(t, ["x", "y"], "left").crossJoin(F.broadcast(size))  # cells of the table, which is as large as the result
-    e = F.col("r") * F.col("c") / F.col("n")
-    gap = F.abs(F.coalesce("count", F.lit(0)) - e)
-    fix = F.when((F.col("k") == 2) & (F.col("m") == 2) & F.lit(yates), F.least(F.lit(0.5), gap)).otherwise(0.0)
-    out = cells.agg(F.max("n").alias("n"), F.max("k").alias("rows"), F.max("m").alias("cols"), F.sum(F.pow(gap - fix, F.lit(2)) / e).alias("chi2"), F.min(e).alias("min_expected"))
+    one = rows.agg(F.sum("r").alias("n"), F.count("*").alias("rows"), F.min("r").alias("low_r"), F.sum(1 / F.col("r")).alias("inv_r"))
+    one = one.crossJoin(F.broadcast(cols.agg(F.count("*").alias("cols"), F.min("c").alias("low_c"), F.sum(1 / F.col("c")).alias("inv_c"))))  # one row each
+    # cells that don't occur add nothing to the sum of observed^2 / expected = n + chi2, so only those that do are visited
+    o, rc = F.col("count").cast("double"), F.col("r").cast("double") * F.col("c")
+    cells = t.join(rows, "x").join(cols, "y").crossJoin(F.broadcast(one.select("n")))
+    out = cells.agg(F.sum(o * o / rc).alias("s"), F.max(F.abs(o - rc / F.col("n"))).alias("gap")).crossJoin(F.broadcast(one))
+    n = F.col("n").cast("double")
+    yated = F.pow(F.greatest(F.col("gap") - 0.5, F.lit(0.0)), F.lit(2)) * n * F.col("inv_r") * F.col("inv_c")  # in a 2x2 table all cells are equally far from what is expected
+    chi2 = F.when((F.col("rows") == 2) & (F.col("cols") == 2) & F.lit(yates), yated).otherwise(F.greatest(n * (F.col("s") - 1), F.lit(0.0)))
+    out = out.select("n", "rows", "cols", chi2.alias("chi2"), (F.col("low_r") * F.col("low_c") / n).alias("min_expected"))
     v = F.sqrt(F.try_divide("chi2", F.col("n") * (F.least("rows", "cols") - 1)))
     return out.select("n", "rows", "cols", F.round("chi2", 6).alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"), F.round("min_expected", 6).alias("min_expected"), F.round(v, 6).alias("cramers_v"))
 
@@ -72,7 +76,7 @@ def levene(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: Levene's W about group medians, as an analysis of variance of absolute deviations."""
     p = pairs(df, x, y)
     med = p.groupBy("g").agg(F.median("x").alias("m"))
-    dev = p.join(F.broadcast(med), "g").select("g", F.abs(F.col("x") - F.col("m")).alias("d"))  # a row for each group
+    dev = p.join(med, "g").select("g", F.abs(F.col("x") - F.col("m")).alias("d"))  # Spark broadcasts the groups if they are few
     return A.anova(dev, "d", "g").select("n", "k", F.round("f", 6).alias("w"))
 
 

@@ -70,17 +70,18 @@ def fill_by_order(df: DataFrame, column: str, order: str, method: str, by: list[
     c = F.col(f"`{column}`")
     if method == "interpolate" and not _numeric(df, column):
         method = "ffill"
+    o = F.col("row").getField(order)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")  # so that no name of the table clashes
     if by:
-        rows, keys = df, by
+        rows, keys = df.select(whole, present(df, column).alias("_v")), [F.col("row").getField(b) for b in by]
         before = after = F.lit(None)
     else:
         from plumbline.runtime import materialize
 
-        rows = materialize(df.repartitionByRange(F.col(f"`{order}`")).withColumn("_p", F.spark_partition_id()), "fill")
-        keys = ["_p"]
-    o = F.col(f"`{order}`")
+        rows = materialize(df.repartitionByRange(F.col(f"`{order}`")).select(whole, present(df, column).alias("_v"), F.spark_partition_id().alias("_p")), "fill")
+        keys = [F.col("_p")]
     w = Window.partitionBy(*keys).orderBy(o)
-    rows = rows.withColumn("_v", present(df, column)).withColumn("_i", F.row_number().over(w).cast("long"))
+    rows = rows.withColumn("_i", F.row_number().over(w).cast("long"))
     if not by:
         ends = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.max(F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))).alias("_last"), F.min(F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))).alias("_first"))
         p = Window.orderBy("_p")  # a row for each partition
@@ -103,7 +104,7 @@ def fill_by_order(df: DataFrame, column: str, order: str, method: str, by: list[
         new = F.coalesce(F.col("_v").cast("double"), pv + step, nv.cast("double"), pv.cast("double"))
     else:
         raise ValueError(f"{method} does not go by order")
-    return rows.select(*[(new.alias(column) if x == column else F.col(f"`{x}`")) for x in df.columns])
+    return rows.select(*[(new if x == column else F.col("row").getField(x)).alias(x) for x in df.columns])
 
 
 def fill(df: DataFrame, column: str, method: str, constant=None, order: str | None = None, by: list[str] | None = None) -> DataFrame:
@@ -123,7 +124,8 @@ def fill(df: DataFrame, column: str, method: str, constant=None, order: str | No
         one = counts.agg(F.min(F.struct((-F.col("_k")).alias("k"), "_m"))["_m"].alias("_m"))  # the smallest of the most frequent
     else:
         one = df.agg((F.avg(x) if method == "mean" else F.median(x)).alias("_m"))
-    return df.crossJoin(F.broadcast(one)).withColumn(column, F.coalesce(x, F.col("_m"))).drop("_m")  # one row
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), x.alias("_x")).crossJoin(F.broadcast(one))  # one row
+    return whole.select(*[(F.coalesce("_x", "_m") if c == column else F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def fill_report(before: DataFrame, after: DataFrame, column: str) -> DataFrame:

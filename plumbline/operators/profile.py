@@ -145,9 +145,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
-    """The first row, in ``order``, of each combination of ``subset``."""
-    rank = F.row_number().over(Window.partitionBy(*[_c(c) for c in subset]).orderBy(*[_c(c) for c in order]))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row, in ``order`` (nulls first), of each combination of ``subset``. Aggregated before the shuffle, so a frequent combination is no one task's."""
+    rows = df.select(F.struct(*[_c(c).alias(f"k{i}") for i, c in enumerate(subset)]).alias("key"), F.struct(*[_c(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("place"), F.struct(*[_c(c) for c in df.columns]).alias("row"))
+    return rows.groupBy("key").agg(F.min_by("row", "place").alias("row")).select("row.*")
 
 
 def _benford_penalty(df: DataFrame, column: str, min_n: int = 100) -> DataFrame:

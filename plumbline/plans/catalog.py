@@ -596,9 +596,9 @@ def drop_rows_condition(spark, sf_dir):
     return edits.drop_rows(load(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice < 50000").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey AS id, o_totalprice::VARCHAR AS price, try_cast(o_orderstatus AS DOUBLE) AS status FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS id, o_totalprice::VARCHAR AS price, try_cast(o_orderstatus AS DOUBLE) AS status FROM orders")
 def rename_cast(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     o = edits.rename_columns(o, {"o_orderkey": "id", "o_totalprice": "price", "o_orderstatus": "status"})
     return edits.cast_column(edits.cast_column(o, "price", "str"), "status", "numeric")
 

@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 from plumbline.functions import numbers as N
 from plumbline.functions.text import nulls_for_tokens
 
+# The encodings that are tried, in order, and the delimiters.
 CHAIN = ("utf-8", "utf-8-sig", "windows-1254", "iso-8859-9", "cp857", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 _BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
@@ -42,6 +43,20 @@ def head_bytes(spark: SparkSession, path: str, size: int) -> bytes:
         stream.close()
 
 
+def whole_file(spark: SparkSession, path: str, most: int = 1 << 30) -> bytes:
+    """All bytes of a workbook or statistics file, which only its own parser can split; a file beyond ``most`` bytes is an error, never cut."""
+    data = head_bytes(spark, path, most + 1)
+    if len(data) > most:
+        raise ValueError(f"{path} is larger than {most} bytes; convert it to CSV or Parquet")
+    return data
+
+
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field spans lines: some line of the whole file has an odd number of quotes."""
+    odd = F.pmod(F.size(F.split(F.col("value"), '"', -1)) - 1, F.lit(2)) == 1
+    return not spark.read.text(path).where(odd).isEmpty()
+
+
 def detect_encoding(sample: bytes) -> str:
     """By byte order mark, else a detector if one is installed, else the first of the chain that decodes the sample."""
     for bom, name in _BOMS:
@@ -91,8 +106,9 @@ def clean_names(names: list[str]) -> list[str]:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> tuple[DataFrame, dict]:
     """All columns as text. Rows with too many fields are skipped, short ones are padded, null tokens become null.
 
-    Encodings that Spark doesn't read natively are decoded line by line on the executors
-    (files without line breaks inside quotes).
+    Files are split over tasks unless a quoted field spans lines, which is looked up in the
+    whole file. Encodings that Spark doesn't read natively are decoded line by line on the
+    executors; with line breaks inside quotes such a file is an error.
     """
     sample = head_bytes(spark, path, 128 << 10)
     encoding = encoding or detect_encoding(sample)
@@ -103,10 +119,13 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
     schema = ", ".join(f"`{n}` string" for n in names)
     reader = spark.read.options(header=True, sep=delimiter, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", escape='"', enforceSchema=True).schema(f"{schema}, _bad string")
     if encoding in _NATIVE:
-        df = reader.options(encoding=_NATIVE[encoding], multiLine='"' in text).csv(path)
+        wide = encoding.startswith("utf-16")  # its line ends and quotes are two bytes each
+        df = reader.options(encoding=_NATIVE[encoding], multiLine=wide or breaks_in_quotes(spark, path)).csv(path)
     else:
         rows = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))  # lines as raw bytes
         name = encoding
+        if breaks_in_quotes(spark, path):
+            raise ValueError(f"{path} has line breaks inside quotes, which can't be read in {encoding}; convert it to UTF-8")
 
         @F.pandas_udf("string")
         def decoded(s: pd.Series) -> pd.Series:
@@ -117,7 +136,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
         df = rows.where(F.col("value") != F.lit(bytearray(first.encode(encoding)))).select(parsed.alias("r")).select("r.*")
     # a corrupt record is too long, or too short and padded; only long ones go: a quote-free count of delimiters tells
     fields = F.size(F.split(F.regexp_replace("_bad", '"[^"]*"', ""), re.escape(delimiter)))
-    df = df.where(F.col("_bad").isNull() | (fields <= len(names))).drop("_bad")
+    never = F.length(F.col(f"`{names[0]}`")) < 0  # Spark refuses to read a file for its corrupt records alone, as a count would
+    df = df.where(F.col("_bad").isNull() | (fields <= len(names)) | never).drop("_bad")
     out = df.select(*[nulls_for_tokens(F.trim(F.col(f"`{n}`"))).alias(n) for n in names])
     return out, {"encoding": encoding, "delimiter": delimiter, "columns": len(names)}
 
@@ -129,7 +149,7 @@ def tr_number_columns(df: DataFrame, order: str | None = None, sample: int = 50,
         if isinstance(f.dataType, StringType):
             c = F.col(f"`{f.name}`")
             some = df.where(c.isNotNull())
-            some = some.orderBy(order) if order else some
+            some = some.orderBy(F.expr(order)) if order else some
             r = some.limit(sample).agg(F.avg(N.is_tr_number(c).cast("double"))).first()[0]
             if r is not None and r >= share:
                 out.append(f.name)
@@ -162,11 +182,11 @@ def load_file(spark: SparkSession, path: str, encoding: str | None = None, sheet
     elif suffix in (".xlsx", ".xlsm"):
         from plumbline.sources.xlsx import read_xlsx
 
-        df = read_xlsx(spark, head_bytes(spark, path, 1 << 30), sheet)
+        df = read_xlsx(spark, whole_file(spark, path), sheet)
     elif suffix in (".sav", ".zsav"):
         from plumbline.sources.spss import read_sav
 
-        df, more = read_sav(spark, head_bytes(spark, path, 1 << 30))
+        df, more = read_sav(spark, whole_file(spark, path))
         return df, meta | more
     elif suffix == ".parquet":
         df = spark.read.parquet(path)
@@ -175,6 +195,8 @@ def load_file(spark: SparkSession, path: str, encoding: str | None = None, sheet
         raise ValueError("legacy .xls isn't supported; save it as .xlsx")
     else:
         raise ValueError(f"unsupported format {suffix}")
-    df, fixed = fix_turkish_numbers(df)
+    numbered = df.withColumn("row number", F.monotonically_increasing_id())  # names of a loaded file have no spaces
+    fixed = tr_number_columns(numbered, "`row number`")  # the file's first values decide
+    df = df.select(*[N.parse_tr_number(F.col(f"`{c}`")).alias(c) if c in fixed else F.col(f"`{c}`") for c in df.columns])
     meta["tr_number_columns"] = fixed
     return (infer_numbers(df) if typed else df), meta

@@ -224,3 +224,26 @@ def test_knn_finds_the_one_near_row_of_many(spark):
     df = spark.range(60_000).select((F.col("id") * 1.0).alias("a"), F.when(F.col("id") % 1000 != 500, F.col("id") * 2.0).alias("t"))
     got = impute_mv.knn(df, ["t"], k=2).where("a % 1000 = 500").collect()
     assert len(got) == 60 and all(abs(r["t"] - 2 * r["a"]) < 1e-6 for r in got)
+
+
+CLASH = "_rank int, _p int, _v double, _i int, _m string, _prev int, _next int, _x int, k0 int, o0 int, row int, _before int, _after int, place int, `key` int, lower int"
+
+
+def test_names_that_clash(spark):
+    rows = [(i % 3, i, None if i % 4 == 0 else float(i), i, "a" if i % 5 else None, i, i, i, i, i, i, i, i, i, i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, CLASH)
+    first = profile.dedup_first(df, ["_rank"], ["_i"])
+    assert first.columns == df.columns and sorted(r["_i"] for r in first.collect()) == [0, 1, 2]
+    for method in ("ffill", "bfill", "interpolate"):
+        for by in (None, ["_rank"]):
+            out = impute.fill(df, "_v", method, order="_i", by=by)
+            assert out.columns == df.columns and [r["_p"] for r in out.orderBy("_i").collect()] == list(range(40))
+    for method in ("mean", "median", "mode"):
+        out = impute.fill(df, "_m" if method == "mode" else "_v", method)
+        assert out.columns == df.columns and out.where("_v is null and _m is null").count() == 0
+    assert audit.iqr_outliers(df, "_p").columns[: len(df.columns)] == df.columns
+
+
+def test_dedup_keeps_types_and_nulls(spark):
+    df = spark.createDataFrame([(None, 2, "b"), (None, None, "a"), (1, 5, None), (1, 4, "c")], "k int, o int, v string")
+    assert sorted((str(r["k"]), r["v"]) for r in profile.dedup_first(df, ["k"], ["o"]).collect()) == [("1", "c"), ("None", "a")]

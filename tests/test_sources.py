@@ -82,3 +82,16 @@ def test_streams(spark, sf, tmp_path):
         q.stop()
     assert spark.sql("select sum(n) from profiled").first()[0] == batch.count()
     assert spark.sql("select sum(count) from digits").first()[0] == batch.where("value > 0").count()
+
+
+def test_line_breaks_in_quotes_far_down(spark, tmp_path):
+    f = tmp_path / "far.csv"
+    f.write_text("id,note\n" + "".join(f"{i},plain\n" for i in range(30_000)) + '30000,"two\nlines"\n30001,"a ""quoted"" word"\n', encoding="utf-8")
+    df, _ = ingest.read_csv(spark, str(f))
+    assert df.count() == 30_002 and {r["note"] for r in df.where("id >= '30000' and length(id) = 5 and id > '3'").where("note <> 'plain'").collect()} == {"two\nlines", 'a "quoted" word'}
+    g = tmp_path / "tr.csv"
+    g.write_bytes('ad,il\n"İki\nsatır",Iğdır\n'.encode("cp1254"))
+    with pytest.raises(ValueError):
+        ingest.load_file(spark, str(g))
+    with pytest.raises(ValueError):
+        ingest.whole_file(spark, str(f), 1000)
