@@ -16,8 +16,8 @@ from plumbline.operators.profile import numeric_columns
 from plumbline.runtime import materialize, sample_by_hash, ship
 
 EULER = 0.5772156649015329
-#: Rows for which the quadratic local outlier factor is allowed.
-MAX_LOF = 20_000
+#: Rows in one broadcast block of the local outlier factor.
+LOF_BLOCK = 20_000
 
 
 def path_norm(n: float) -> float:
@@ -139,36 +139,47 @@ def isolation_forest(df: DataFrame, columns: list[str] | None = None, contaminat
     return out.drop(*names)
 
 
-def local_outlier_factor(df: DataFrame, rid: str, columns: list[str] | None = None, contamination: float = 0.05, k: int | None = None, max_rows: int = MAX_LOF) -> DataFrame:
-    """(rid, _lof, _is_anomaly). Quadratic in rows, so more than ``max_rows`` are refused, never sampled.
+def local_outlier_factor(df: DataFrame, rid: str, columns: list[str] | None = None, contamination: float = 0.05, k: int | None = None, block: int = LOF_BLOCK) -> DataFrame:
+    """(rid, _lof, _is_anomaly), exact at any size; the work is quadratic in rows.
 
-    The feature matrix (bounded by ``max_rows``) is broadcast; neighbours of all rows are
-    found in blocks, and densities follow by joins on the neighbour lists.
+    Rows are broadcast in blocks of ``block``; every row's ``k`` nearest of each block (ties by
+    rid) are merged, and densities follow by joins on the neighbour lists.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     x, cols, _, _ = prepared(df, columns)
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows; the local outlier factor allows {max_rows}")
     names = [f"_f{i}" for i in range(len(cols))]
+    feats = materialize(x.select(F.col(f"`{rid}`").alias("r"), *names), "lof")
+    n = feats.count()
     k = k or min(20, n // 5 or 5)
     k = max(1, min(k, n - 1))
-    feats = x.select(F.col(f"`{rid}`").alias("r"), *names)
-    rows = feats.orderBy("r").collect()  # bounded by `max_rows`
-    shared = df.sparkSession.sparkContext.broadcast((np.array([r["r"] for r in rows]), np.array([r[1:] for r in rows], dtype=float)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, data = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                own = part[names].to_numpy(dtype=float)
-                dist = np.sqrt(np.maximum((own**2).sum(1)[:, None] + (data**2).sum(1)[None] - 2 * own @ data.T, 0))
-                dist[part["r"].to_numpy()[:, None] == ids[None]] = np.inf
-                near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"r": np.repeat(part["r"].to_numpy(), k), "o": ids[near].ravel(), "d": np.take_along_axis(dist, near, 1).ravel()})
-
-    near = materialize(feats.mapInPandas(run, "r long, o long, d double"), "lof")
+    parts = []
+    for rows in _blocks(feats, block):
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(names))))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, data = shared.value
+            for pdf in batches:
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    own = part[names].to_numpy(dtype=float)
+                    dist = np.sqrt(np.maximum((own**2).sum(1)[:, None] + (data**2).sum(1)[None] - 2 * own @ data.T, 0))
+                    dist[part["r"].to_numpy()[:, None] == ids[None]] = np.inf
+                    most = np.partition(dist, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                    row, col = np.nonzero((dist <= most[:, None]) & np.isfinite(dist))
+                    order = np.lexsort((ids[col], dist[row, col], row))
+                    row, col = row[order], col[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[best], col[best]
+                    yield pd.DataFrame({"r": part["r"].to_numpy()[row], "o": ids[col], "d": dist[row, col]})
+
+        parts.append(materialize(feats.mapInPandas(run, "r long, o long, d double"), "lof"))
+    near = parts[0] if parts else spark.createDataFrame([], "r long, o long, d double")
+    for more in parts[1:]:
+        near = near.unionByName(more)
+    if len(parts) > 1:
+        best = near.groupBy("r").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "o"))), 1, k).alias("s"))  # k rows of each block
+        near = materialize(best.select("r", F.explode("s").alias("s")).select("r", "s.o", "s.d"), "lof")
     kd = near.groupBy("r").agg(F.max("d").alias("kd"))
     reach = near.join(kd.withColumnRenamed("r", "o"), "o").select("r", "o", F.greatest("d", "kd").alias("reach"))
     lrd = reach.groupBy("r").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
@@ -178,6 +189,17 @@ def local_outlier_factor(df: DataFrame, rid: str, columns: list[str] | None = No
     return lof.crossJoin(F.broadcast(cut)).withColumn("_is_anomaly", F.col("_lof") > F.col("_cut")).drop("_cut")
 
 
+def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
+    held = []
+    for r in rows.toLocalIterator():  # one partition at a time, one block held
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def choose(algorithm: str, n: int, d: int) -> list[str]:
     """The detectors that run: an explicit one, or by size; two are joined by AND."""
     if algorithm in ("isolation_forest", "lof"):

@@ -69,6 +69,18 @@ def discard(df: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """Write a small file to any store that Spark writes to."""
+    fs, hpath = _on_fs(spark, path)
+    stream = fs.create(hpath, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    fs.deleteOnExit(hpath)
+    return path
+
+
 def _on_fs(spark: SparkSession, path: str):
     sc = spark.sparkContext
     hpath = sc._jvm.org.apache.hadoop.fs.Path(path)

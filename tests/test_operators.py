@@ -176,8 +176,9 @@ def test_anomalies(spark):
     assert top[1001] in ("a", "c")
     both = anomaly.detect(df, "id", ["a", "b", "c"], algorithm="ensemble", contamination=0.02).where("_is_anomaly").collect()
     assert {1000, 1001} <= {r["id"] for r in both}
-    with pytest.raises(ValueError):
-        anomaly.local_outlier_factor(df, "id", ["a", "b"], max_rows=10)
+    tied = frame(spark, [(i, float(i % 7), float(i % 5)) for i in range(90)] + [(500, 40.0, 40.0)], "id long, a double, b double")
+    one, many = ({r["id"]: round(r["_lof"], 9) for r in anomaly.local_outlier_factor(tied, "id", ["a", "b"], k=6, block=b).collect()} for b in (1000, 13))
+    assert one == many and max(one, key=one.get) == 500
     assert anomaly.choose("ensemble", 1000, 20) == ["isolation_forest"]
 
 
