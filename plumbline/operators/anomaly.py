@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.operators.profile import numeric_columns
+from plumbline.operators.quantiles import quantile_row
 from plumbline.runtime import materialize, sample_by_hash, ship
 
 EULER = 0.5772156649015329
@@ -86,7 +87,7 @@ def prepared(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame
     if len(cols) < 2:
         raise ValueError("at least two numeric columns are needed")
     xs = [N.clean(F.col(f"`{c}`").cast("double")) for c in cols]
-    row = df.agg(*[F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(xs)]).first()
+    row = quantile_row(df, xs, [0.25, 0.5, 0.75]).first()
     q = np.array([r if r is not None else [0.0, 0.0, 1.0] for r in row], dtype=float)
     spread = np.where(q[:, 2] > q[:, 0], q[:, 2] - q[:, 0], 1.0)
     feats = [((F.coalesce(x, F.lit(float(m))) - float(m)) / float(s)).alias(f"_f{i}") for i, (x, m, s) in enumerate(zip(xs, q[:, 1], spread))]
@@ -113,7 +114,7 @@ def isolation_forest(df: DataFrame, columns: list[str] | None = None, contaminat
         return pd.Series(forest.value.score(np.stack([s.to_numpy() for s in f], axis=1)))
 
     scored = materialize(x.withColumn("_score", score(*names)), "forest")
-    cut = scored.agg(F.percentile("_score", contamination).alias("_cut"))
+    cut = quantile_row(scored, [F.col("_score")], [contamination]).select(F.get("q0", F.lit(0)).alias("_cut"))
     out = scored.crossJoin(F.broadcast(cut)).withColumn("_is_anomaly", F.col("_score") < F.col("_cut")).drop("_cut")
 
     @F.pandas_udf("array<double>")
@@ -185,7 +186,7 @@ def local_outlier_factor(df: DataFrame, rid: str, columns: list[str] | None = No
     lrd = reach.groupBy("r").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
     both = near.join(lrd.select(F.col("r").alias("o"), F.col("lrd").alias("lo")), "o").groupBy("r").agg(F.avg("lo").alias("mean")).join(lrd, "r")
     lof = materialize(both.select(F.col("r").alias(rid), (F.col("mean") / F.col("lrd")).alias("_lof")), "lof")
-    cut = lof.agg(F.percentile("_lof", 1 - contamination).alias("_cut"))
+    cut = quantile_row(lof, [F.col("_lof")], [1 - contamination]).select(F.get("q0", F.lit(0)).alias("_cut"))
     return lof.crossJoin(F.broadcast(cut)).withColumn("_is_anomaly", F.col("_lof") > F.col("_cut")).drop("_cut")
 
 

@@ -1,8 +1,8 @@
 """Statistical audit: descriptives, histogram, normality, Benford's law, outliers, variance impact, correlation.
 
 Statistics are aggregations; tail probabilities are computed from the one-row results.
-Exact quantiles use ``percentile``, whose buffer holds a count for each distinct value;
-``exact=False`` takes the bounded ``percentile_approx`` instead.
+Exact quantiles of large tables are found by ranks over all tasks (``quantiles``);
+``exact=False`` takes ``percentile_approx`` instead.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.functions import special as S
+from plumbline.operators.quantiles import quantile_row
 from plumbline.runtime import materialize
 
 # Nigrini's limits of the mean absolute deviation.
@@ -26,18 +27,14 @@ def values(df: DataFrame, column: str) -> Column:
     return N.to_number(c) if df.schema[column].dataType.typeName() == "string" else N.clean(c)
 
 
-def _quantiles(x: Column, probs: list[float], exact: bool) -> Column:
-    return F.percentile(x, probs) if exact else F.percentile_approx(x, probs, 100_000)
-
-
 def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """n, mean, std and variance (population), min, quartiles, max, skewness and excess kurtosis."""
     x = values(df, column)
     row = df.agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("var"), F.min(x).alias("min"), F.max(x).alias("max"),
-        _quantiles(x, [0.25, 0.5, 0.75], exact).alias("q"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"),
-    )
-    q = lambda i: F.get("q", F.lit(i))
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"),
+    ).crossJoin(F.broadcast(quantile_row(df, [x], [0.25, 0.5, 0.75], exact)))
+    q = lambda i: F.get("q0", F.lit(i))
     rounded = [F.round(c, 4).alias(n) for n, c in (("mean", F.col("mean")), ("std", F.col("std")), ("var", F.col("var")), ("min", F.col("min")), ("q1", q(0)), ("median", q(1)), ("q3", q(2)), ("max", F.col("max")), ("skew", F.col("skew")), ("kurt", F.col("kurt")))]
     return row.select("n", *rounded)
 
@@ -156,7 +153,7 @@ def _flag(df: DataFrame, column: str, bounds: DataFrame, is_outlier: Column) ->
 
 
 def iqr_bounds(df: DataFrame, column: str, multiplier: float = 1.5, exact: bool = True) -> DataFrame:
-    q = df.agg(_quantiles(values(df, column), [0.25, 0.75], exact).alias("q")).select(F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+    q = quantile_row(df, [values(df, column)], [0.25, 0.75], exact).select(F.get("q0", F.lit(0)).alias("q1"), F.get("q0", F.lit(1)).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return q.select("q1", "q3", (F.col("q1") - multiplier * iqr).alias("lower"), (F.col("q3") + multiplier * iqr).alias("upper"))
 
@@ -170,9 +167,9 @@ def iqr_outliers(df: DataFrame, column: str, multiplier: float = 1.5, exact: boo
 def robust_bounds(df: DataFrame, column: str) -> DataFrame:
     """median, mad (raw), mean and std (population), in two passes."""
     x = values(df, column)
-    med = df.agg(F.median(x).alias("median"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
-    dev = df.select(x.alias("_x")).crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"))
-    return med.crossJoin(F.broadcast(dev))
+    med = quantile_row(df, [x], [0.5]).select(F.get("q0", F.lit(0)).alias("median")).crossJoin(F.broadcast(df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))))
+    dev = quantile_row(df.select(x.alias("_x")).crossJoin(F.broadcast(med)), [F.abs(F.col("_x") - F.col("median"))], [0.5])  # one row each
+    return med.crossJoin(F.broadcast(dev.select(F.get("q0", F.lit(0)).alias("mad"))))
 
 
 def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0, robust: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from plumbline.functions import numbers as N
 from plumbline.functions.text import is_numeric_field
+from plumbline.operators.quantiles import quantile_row
 
 # Weights of the trust score.
 WEIGHTS = {"null": 0.35, "type": 0.20, "anomaly": 0.20, "benford": 0.15, "dup": 0.10}
@@ -54,17 +55,21 @@ def wide_to_long(row: DataFrame, columns: Iterable[str], fields: dict[str, str])
 def scalars(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column: counts, moments and order statistics. Quantiles are exact, or approximate where ``exact`` is False."""
     columns = columns or df.columns
-    aggs = [F.count("*").alias("n")]
+    aggs, numbers = [F.count("*").alias("n")], [i for i, c in enumerate(columns) if is_numeric_field(df.schema[c].dataType)]
     kinds = {"n": "long", "valid": "long", "mean": "double", "std": "double", "min": "double", "max": "double", "skew": "double", "kurt": "double", "median": "double", "numeric": "boolean", "digits_like": "double", "float_like": "double"}
     for i, c in enumerate(columns):
         x, v = _number(df, c), present(df, c)
         text = isinstance(df.schema[c].dataType, StringType)
         aggs += [
             F.count("*").alias(f"n_{i}"), F.count(v).alias(f"valid_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
-            F.skewness(x).alias(f"skew_{i}"), F.kurtosis(x).alias(f"kurt_{i}"), (F.median(x) if exact else F.percentile_approx(x, 0.5)).alias(f"median_{i}"), F.lit(is_numeric_field(df.schema[c].dataType)).alias(f"numeric_{i}"),
+            F.skewness(x).alias(f"skew_{i}"), F.kurtosis(x).alias(f"kurt_{i}"), F.lit(is_numeric_field(df.schema[c].dataType)).alias(f"numeric_{i}"),
             (F.avg(N.is_digits_like(_c(c)).cast("double")) if text else F.lit(None)).alias(f"digits_like_{i}"), (F.avg(N.is_float_like(_c(c)).cast("double")) if text else F.lit(None)).alias(f"float_like_{i}"),
         ]
-    return wide_to_long(df.agg(*aggs), columns, kinds)
+    row = df.agg(*aggs)
+    if numbers:
+        row = row.crossJoin(F.broadcast(quantile_row(df, [_number(df, columns[i]) for i in numbers], [0.5], exact)))  # one row
+    medians = [(F.get(f"q{numbers.index(i)}", F.lit(0)) if i in numbers else F.lit(None).cast("double")).alias(f"median_{i}") for i in range(len(columns))]
+    return wide_to_long(row.select("*", *medians), columns, kinds)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from plumbline.plans import auditlog
 from plumbline.plans.events import EventStore
 from plumbline.plans.oplog import OperationLog
 from plumbline.plans.registry import Registry
+from plumbline.runtime import spread
 from plumbline.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -653,7 +654,7 @@ def audit_quality(spark, sf_dir):
 
 @query()
 def isolation_forest(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    line = spread(load(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     return anomaly.isolation_forest(line).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "_score", "_is_anomaly")
 
 

@@ -43,6 +43,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._plumbline_scratch
 
 
+#: Bytes of files below which a table that comes in few files is dealt out over all cores.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in a few files, whose scan would be one task for each row group, dealt over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 

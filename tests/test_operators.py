@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import anomaly, audit, edits, hypothesis, impute, impute_mv, match, profile
+from plumbline.operators import anomaly, audit, edits, hypothesis, impute, impute_mv, match, profile, quantiles
 
 
 def frame(spark, rows, schema):
@@ -248,3 +248,14 @@ def test_names_that_clash(spark):
 def test_dedup_keeps_types_and_nulls(spark):
     df = spark.createDataFrame([(None, 2, "b"), (None, None, "a"), (1, 5, None), (1, 4, "c")], "k int, o int, v string")
     assert sorted((str(r["k"]), r["v"]) for r in profile.dedup_first(df, ["k"], ["o"]).collect()) == [("1", "c"), ("None", "a")]
+
+
+def test_quantiles_by_either_path(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1.0, 2.5, float(rnd.randint(0, 40))]), float(i), None) for i in range(501)]
+    df = frame(spark, rows, "a double, b double, c double")
+    xs, probs = [F.col("a"), F.col("b"), F.col("c")], [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    one, many = quantiles.quantile_row(df, xs, probs).first(), quantiles.quantile_row(df, xs, probs, one_buffer=0).first()
+    for x, y in zip(one, many):
+        assert x == y or np.allclose(x, y, rtol=1e-12)
+    assert many["q2"] is None and quantiles.quantile_row(df.limit(0), xs, probs, one_buffer=0).first() == (None, None, None)
