@@ -9,17 +9,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.runtime import discard, materialize, ship
+from plumbline.runtime import discard, materialize, ship, spread
 
 __all__ = ["arrow_map", "discard", "let", "materialize", "picked", "release_memory", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; also makes the package importable on the executors, and keeps Arrow batches of texts small."""
+    """One input table; also makes the package importable on the executors, and keeps Arrow batches of texts small.
+
+    A small table in one file is dealt over all cores, as its scan would be one task.
+    """
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, meant for narrow rows
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def picked(df: DataFrame, *names: str) -> DataFrame:
