@@ -164,12 +164,24 @@ class Transducer:
                     arcs = self.arcs
         yield from self._chain(lasts, len(lasts))
 
+    def encode_short(self, piece: bytes) -> list[int]:
+        """As ``encode``, for a piece that ends before anything is emitted early."""
+        if len(piece) >= 4 * self.deepest or len(self.sets) > self.max_states:
+            return list(self.encode(piece))
+        state, lasts, get = 0, [], self.arcs.get
+        for byte in piece:
+            state, last = get(state << 8 | byte) or self.arc(state, byte)
+            lasts.append(last)
+        return self._chain(lasts, len(lasts))
+
     def _chain(self, lasts: list[int], end: int) -> list[int]:
-        out = []
+        out, size = [], self.size
         while end > 0:
-            out.append(lasts[end - 1])
-            end -= self.size[lasts[end - 1]]
-        return out[::-1]
+            token = lasts[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
 
     def _settled(self, state: int, lasts: list[int]) -> list[int]:
         """The tokens that the chains of all open borders begin with."""
@@ -209,7 +221,7 @@ class Encoder:
             known = self.words.get(piece[1:])
             if known is not None:
                 return known
-        ids = list(self.machine.encode(piece.encode("utf-8", "surrogatepass")))
+        ids = self.machine.encode_short(piece.encode("utf-8", "surrogatepass"))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str, lead: str = " ") -> bytes | None:
