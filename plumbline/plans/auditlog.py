@@ -127,7 +127,18 @@ def _table(head: list[str], rows: list[list]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows], ""]
 
 
-def markdown_report(title: str, meta: dict, log: AuditLog, trust: float, before_after: DataFrame | None = None, correlations: list[dict] | None = None, missing: DataFrame | None = None, samples: list[dict] | None = None, steps: list[str] | None = None) -> str:
+def _readiness(groups: dict[str, list[dict]], radical: list[str]) -> list[str]:
+    """Advice on modelling, from the kinds of operations in the log."""
+    out = []
+    if {"NORMALIZE", "AUDIT", "OUTLIER", "BENFORD"} & set(groups):
+        out.append(f"Regression: test hypotheses first, as {', '.join(radical)} changed a lot." if radical else "Regression: values were cleaned and keep their structure; linear or polynomial models fit.")
+    if "IMPUTE" in groups:
+        filled = sorted({c for r in groups["IMPUTE"] if (c := (r.get("params") or {}).get("column"))})
+        out.append("Classification: gaps were filled" + (f" in {', '.join(filled)}" if filled else "") + "; tree ensembles can follow once categories are encoded.")
+    return out
+
+
+def markdown_report(title: str, meta: dict, log: AuditLog, trust: float, before_after: DataFrame | None = None, correlations: list[dict] | None = None, missing: DataFrame | None = None, samples: list[dict] | None = None, steps: list[str] | None = None, profiles: DataFrame | None = None) -> str:
     """A report from small results: every DataFrame given has a row for each column."""
     out = [f"# {title}", "", f"Generated {datetime.now(timezone.utc):%Y-%m-%d %H:%M} UTC", ""]
     changes = [r.asDict() for r in before_after.collect()] if before_after is not None else []
@@ -152,6 +163,13 @@ def markdown_report(title: str, meta: dict, log: AuditLog, trust: float, before_
         out += ["## Correlations", "", *_table(["a", "b", "pearson", "strength"], [[c["col_a"], c["col_b"], c["pearson"], c["strength"]] for c in correlations[:8]])]
     if missing is not None:
         out += ["## Missing values", "", *_table(["column", "missing", "%"], [[r["column"], r["missing_count"], r["missing_pct"]] for r in missing.orderBy(F.desc("missing_pct"), "column").limit(12).collect()])]
+    if profiles is not None:
+        rows = profiles.select("column", "miss_pct", "type_mismatch_pct", "quality_score").orderBy("column").collect()
+        level = lambda q: "good" if q >= 80 else "fair" if q >= 50 else "poor"
+        out += ["## Column health", "", *_table(["column", "missing %", "type mismatch %", "quality"], [[r[0], f"{r[1]:.1f}", f"{r[2]:.1f}", f"{level(r[3])} ({r[3]:.1f} / 100)"] for r in rows])]
+    advice = _readiness(groups, radical)
+    if advice:
+        out += ["## What the data is ready for", "", *[f"- {a}" for a in advice], ""]
     if steps:
         out += ["## Next steps", "", *[f"{i}. {s}" for i, s in enumerate(steps, 1)], ""]
     out += ["## Log", "", *_table(["time", "operation", "status", "ms"], [[r["timestamp"], r["operation"], r["status"], r["duration_ms"]] for r in log.records[-30:]])]

@@ -102,3 +102,16 @@ def test_export(spark, df, tmp_path):
         assert back.columns == ["rid", "v", "s"] and back.agg(F.sum("v")).first()[0] == df.agg(F.sum("v")).first()[0]
     with pytest.raises(ValueError):
         export(df, "x", "odt")
+
+
+def test_report_health_and_readiness(spark, tmp_path):
+    from plumbline.operators import profile
+
+    log = auditlog.AuditLog(str(tmp_path))
+    df = spark.createDataFrame([(i, None if i % 2 else float(i), "a") for i in range(40)], "id long, v double, s string")
+    text = auditlog.markdown_report("R", {}, log, 50, profiles=profile.column_profile(df))
+    assert "## Column health" in text and "| v | 50.0 | 0.0 | fair (50.0 / 100) |" in text and "ready for" not in text
+    log.log_normalize("s", 3, 40, ["turkish_lower"], 1.0)
+    log.log_impute("v", "mean", 20, 40, 1.0)
+    text = auditlog.markdown_report("R", {}, log, 50)
+    assert "Regression: values were cleaned" in text and "gaps were filled in v;" in text
