@@ -10,6 +10,7 @@ changing the result. ``blocking`` instead compares only values with a common pre
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,10 +40,10 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
-def jaro(a: str, b: str, variant: str = "standard") -> float:
-    """Jaro similarity in percent. ``standard`` halves transpositions down, ``reference`` keeps the fraction."""
+def _jaro_share(a: str, b: str, variant: str) -> float:
+    """Jaro similarity from 0 to 1."""
     if a == b:
-        return 100.0
+        return 1.0
     if not a or not b:
         return 0.0
     window = max(0, max(len(a), len(b)) // 2 - 1)
@@ -59,18 +60,29 @@ def jaro(a: str, b: str, variant: str = "standard") -> float:
     m = len(left)
     moved = sum(p != q for p, q in zip(left, (c for c, t in zip(b, taken) if t)))
     t = moved // 2 if variant == "standard" else moved / 2
-    return (m / len(a) + m / len(b) + (m - t) / m) / 3 * 100
+    return (m / len(a) + m / len(b) + (m - t) / m) / 3
+
+
+def jaro(a: str, b: str, variant: str = "standard") -> float:
+    """Jaro similarity in percent. ``standard`` halves transpositions down, ``reference`` keeps the fraction."""
+    return _jaro_share(a, b, variant) * 100
 
 
 def jaro_winkler(a: str, b: str, variant: str = "standard") -> float:
-    """Jaro with a bonus for up to four leading characters; ``standard`` gives it above 70 only, ``reference`` always."""
-    base = jaro(a, b, variant)
-    if variant == "standard" and base <= 70:
-        return base
+    """Jaro with a bonus for up to four leading characters; ``standard`` gives it above 70 only, ``reference`` always.
+
+    The best match is the largest of these floats, so ``standard`` has DuckDB's to the last bit: the bound of 0.7 and
+    the bonus go by shares, not percents, and the bonus is rounded once. Near 70 and in ties, other roundings choose other rows.
+    """
+    share = _jaro_share(a, b, variant)
+    if variant == "standard" and share <= 0.7:
+        return share * 100
     n = 0
     while n < min(4, len(a), len(b)) and a[n] == b[n]:
         n += 1
-    return base + n * 0.1 * (100 - base)
+    if variant == "standard":
+        return math.fma(n * 0.1, 1 - share, share) * 100
+    return share * 100 + n * 0.1 * (100 - share * 100)
 
 
 def _bound(name: str, a: str, b: str, ca: Counter, cb: Counter) -> float:
