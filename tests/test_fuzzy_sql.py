@@ -25,7 +25,7 @@ def test_jaro_winkler_has_duckdbs_floats():
     assert len(rows) == len(names) ** 2 and [r for r in rows if match.jaro_winkler(r[0], r[1]) != r[2]] == []
 
 
-@pytest.mark.parametrize("name", ["fuzzy_best_match", "fuzzy_blocking", "fuzzy_merge"])
+@pytest.mark.parametrize("name", ["fuzzy_best_match", "fuzzy_blocking", "fuzzy_merge", "fuzzy_unmatched"])
 def test_near_ties(spark, parts, name):
     df = catalog.QUERIES[name](spark, parts)
     con = duckdb.connect()
