@@ -87,12 +87,13 @@ def fill_by_order(df: DataFrame, column: str, order: str, method: str, by: list[
         p = Window.orderBy("_p")  # a row for each partition
         ends = ends.withColumn("_base", F.coalesce(F.sum("_n").over(p.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         place = lambda s: F.when(s.isNotNull(), F.struct((s["_i"] + F.col("_base")).alias("_i"), s["_v"].alias("_v")))
-        ends = ends.withColumn("_before", F.last(place(F.col("_last")), True).over(p.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.first(place(F.col("_first")), True).over(p.rowsBetween(1, Window.unboundedFollowing)))
+        ends = ends.withColumn("_before", F.last(place(F.col("_last")), True).over(p.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.last(place(F.col("_first")), True).over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)))
         rows = rows.join(F.broadcast(ends.select("_p", "_base", "_before", "_after")), "_p").withColumn("_i", F.col("_i") + F.col("_base"))
         before, after = F.col("_before"), F.col("_after")
     here = F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))
     prev = F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_i"))  # Spark walks a frame to the end anew for each row
+    nxt = F.last(here, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_prev", prev if by else F.coalesce(prev, before)).withColumn("_next", nxt if by else F.coalesce(nxt, after))
     pv, nv = F.col("_prev._v"), F.col("_next._v")
     if method == "ffill":
