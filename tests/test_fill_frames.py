@@ -23,7 +23,7 @@ def plain(rows, method):
     return out
 
 
-@pytest.mark.parametrize("method", ["bfill"])
+@pytest.mark.parametrize("method", ["bfill", "interpolate"])
 @pytest.mark.parametrize("by", [None, ["k"]])
 def test_no_frame_to_the_end(spark, method, by):
     rnd = random.Random(8)
